@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, sliced, vocabulary_text, whole
+from .common import Memo, portions, sliced, vocabulary_text, whole
 from .units import PIECES, ByteUnits, byte_units
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -109,7 +109,8 @@ class Codec:
                 key = (last[start - 1][0], token)
                 ok = pairs.get(key)
                 if ok is None:
-                    pairs.room(1)
+                    if len(pairs) >= pairs.most:
+                        pairs.clear()
                     ok = pairs[key] = self.stands(token) and self.compatible(*key)
             else:
                 ok = self.stands(token)
@@ -136,8 +137,9 @@ class Codec:
 
 
 def _packed(codec: Codec):
-    """Encodes units: pieces by the automaton, and whole units with special strings in them."""
-    return lambda group: [array("I", codec.encode(u)).tobytes() for u in group]
+    """Encodes what units.ByteUnits cuts: single pieces, and whole units with special strings in them."""
+    special = tuple(codec.special)
+    return lambda group: [array("I", codec.encode(u) if any(map(u.__contains__, special)) else codec.piece(u)).tobytes() for u in group]
 
 
 def _codec(key: str, text: str) -> tuple[Codec, ByteUnits]:
@@ -148,10 +150,9 @@ def _codec(key: str, text: str) -> tuple[Codec, ByteUnits]:
 
 
 def _encoded(batches, codec: Codec, units: ByteUnits):
-    for batch in batches:
-        ids, texts = (c.to_pylist() for c in batch.columns)
+    for ids, texts in portions(batches):
         cut = [byte_units(t) for t in texts]
-        heads, memo = units.learn({c[0] for c in cut}, {u for c in cut for u in c[1:]}, b"".join)
+        heads, memo = units.learn({c[0] for c in cut}, set().union(*(c[1:] for c in cut)), b"".join)
         for doc_id, c in zip(ids, cut):
             yield doc_id, heads[c[0]] + b"".join(map(memo.__getitem__, c[1:]))
 

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,17 @@ def vocabulary_text(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def portions(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[tuple[list, ...]]:
+    """The columns as lists, for so many bytes of the last column at a time (one row at least)."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.columns[-1]), 0), np.int64)
+        part, start = np.cumsum(sizes) // most_bytes, 0
+        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]:
+            if end > start:
+                yield tuple(c.to_pylist() for c in batch.slice(start, end - start).columns)
+            start = end
+
+
 class Memo(dict):
     """A dictionary that starts anew when full, so a worker's memory stays bounded."""
 
@@ -75,6 +88,10 @@ class Memo(dict):
         super().__init__()
         self.most = most
 
-    def room(self, n: int) -> None:
-        if len(self) + n > self.most:
+    def missing(self, keys: set) -> list:
+        """The keys to add. Starts anew if they don't fit, so it holds the larger of its limit and these keys."""
+        new = keys.difference(self)
+        if len(self) + len(new) > self.most and self:
             self.clear()
+            new = keys
+        return list(new)

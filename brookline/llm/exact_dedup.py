@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, staged, whole
+from .common import partitions, portions, sliced, staged, whole
 
 BLOCK_BYTES = 4096
 MEMO_BYTES = 16 << 20
@@ -58,8 +58,8 @@ def _cut(block_bytes: int):
     def run(batches):
         def rows():
             rid = TaskContext.get().partitionId() << 40
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in portions(batches):
+                for doc_id, text in zip(ids, texts):
                     n = max(1, -(-len(text) // block_bytes))
                     yield text[:block_bytes], rid, 0, n, doc_id, hashlib.sha256(text).digest()
                     for pos in range(1, n):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, sliced, whole
+from .common import Memo, portions, sliced, whole
 
 PLACES = 1 << 15
 PER_LANGUAGE = 600
@@ -167,8 +167,7 @@ def _predicted(key: str, held):
         memo, table = _memo[key]
 
         def rows():
-            for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
+            for ids, texts in portions(batches):
                 for doc_id, text in zip(ids, texts):
                     if not machines.languages or text is None or not has_letter(text):
                         yield doc_id, UNKNOWN, 0.0
@@ -176,11 +175,7 @@ def _predicted(key: str, held):
                     words = words_of(text)
                     z, n = np.zeros(table.shape[1]), 0
                     for part in (words[i : i + 100_000] for i in range(0, len(words), 100_000)):
-                        new = {w for w in part if w not in memo}
-                        if len(memo) + len(new) > memo.most:
-                            memo.clear()
-                            new = set(part)
-                        for w in new:
+                        for w in memo.missing(set(part)):
                             at = memo[w] = len(memo)
                             places = word_places(w)
                             table[at] = machines.weights[places].sum(axis=0)

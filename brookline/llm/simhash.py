@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, staged, whole
+from .common import partitions, portions, sliced, staged, whole
 from .components import connected_components
 
 WORDS = 3
@@ -74,8 +74,8 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
 def _fingerprints(size: int):
     def run(batches):
         def rows():
-            for batch in batches:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, texts in portions(batches):
+                for doc_id, text in zip(ids, texts):
                     fp = fingerprint(text, size)
                     yield doc_id, fp - (1 << 64) if fp >> 63 else fp
 

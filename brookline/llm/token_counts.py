@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, vocabulary_text, whole
+from .common import portions, sliced, vocabulary_text, whole
 from .units import ByteUnits, by_bytes, byte_units
 
 LIMIT = 512
@@ -54,13 +54,12 @@ def _count_json(key: str, held):
         encode, units = _counter(key, held.value)
 
         def rows():
-            for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
+            for ids, texts in portions(batches):
                 if units is None:
                     counts = (n for group in by_bytes(texts) for n in encode(group))
                 else:
                     cut = [byte_units(t) for t in texts]
-                    heads, memo = units.learn({c[0] for c in cut}, {u for c in cut for u in c[1:]}, sum)
+                    heads, memo = units.learn({c[0] for c in cut}, set().union(*(c[1:] for c in cut)), sum)
                     counts = (heads[c[0]] + sum(map(memo.__getitem__, c[1:])) for c in cut)
                 for doc_id, text, n in zip(ids, texts, counts):
                     yield doc_id, len(text.encode()), n
@@ -79,8 +78,7 @@ def _count_model(key: str, held):
         encode = _workers[key].encode
 
         def rows():
-            for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
+            for ids, texts in portions(batches):
                 counts = (len(x) for group in by_bytes(texts) for x in encode(group, num_threads=1))
                 for doc_id, text, n in zip(ids, texts, counts):
                     yield doc_id, len(text.encode()), n

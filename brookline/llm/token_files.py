@@ -19,17 +19,19 @@ kept; rows of equal id come in the order of their texts; an empty table gives no
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from array import array
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, sliced, vocabulary_text, whole
+from .common import fresh_path, partitions, portions, sliced, vocabulary_text, whole
 from .units import WordUnits, word_units
 
 SHARD_BYTES = 64 << 20
@@ -86,6 +88,14 @@ class TokenFiles:
     index: str
 
 
+def splits_at_space(config: dict) -> bool:
+    """Whether the file lower-cases, drops white space and cuts there, and has special strings without space."""
+    steps = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and "<|" in t["content"] and " " not in t["content"] for t in config["added_tokens"])
+    return steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and plain
+
+
 def _word_encoder(key: str, text: str):
     if key not in _workers:
         from tokenizers import Tokenizer
@@ -94,9 +104,14 @@ def _word_encoder(key: str, text: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        splits = tokenizer.normalizer is not None and "Lowercase" in repr(tokenizer.normalizer) and "Removed" in repr(tokenizer.pre_tokenizer)
-        encode = lambda group: [array(code, e.ids).tobytes() for e in tokenizer.encode_batch(group, add_special_tokens=False)]
-        _workers[key] = code, encode, WordUnits(encode) if splits else None
+        config = json.loads(text)
+        encode = lambda group: [e.ids for e in tokenizer.encode_batch(group, add_special_tokens=False)]
+        units, end = None, config["model"].get("end_of_word_suffix")
+        if end and splits_at_space(config):
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            ends[[i for t, i in config["model"]["vocab"].items() if t.endswith(end)]] = True
+            units = WordUnits(encode, ends, "<u2" if code == "H" else "<u4")
+        _workers[key] = code, encode, units
     return _workers[key]
 
 
@@ -106,13 +121,12 @@ def _frames(key: str, held, end_id: int):
         end = array(code, [end_id]).tobytes()
 
         def rows():
-            for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
+            for ids, texts in portions(batches):
                 if units is None:
-                    packed = (encode([t])[0] for t in texts)
+                    packed = (array(code, encode([t])[0]).tobytes() for t in texts)
                 else:
                     cut = [word_units(t) for t in texts]
-                    memo = units.learn({u for c in cut for u in c}, b"".join)
+                    memo = units.learn(set().union(*cut))
                     packed = (b"".join(map(memo.__getitem__, c)) for c in cut)
                 for doc_id, p in zip(ids, packed):
                     yield (frame(doc_id, array(code, p + end))[:-1],)  # the line's end follows

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, sliced, whole
+from .common import Memo, portions, sliced, whole
 
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -160,20 +160,15 @@ def _scored(key: str, held):
         machine = held.value
         if key not in _memo:
             _memo.clear()
-            _memo[key] = Memo(1_000_000), {int(t): i for i, t in enumerate(machine.terms)}
+            _memo[key] = Memo(700_000), {int(t): i for i, t in enumerate(machine.terms)}
         memo, row_of = _memo[key]
 
         def rows():
-            for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
+            for ids, texts in portions(batches):
                 for doc_id, text in zip(ids, texts):
                     words = words_of(text)
-                    new = [w for w in words if w not in memo]
-                    if new:
-                        memo.room(len(new))
-                        new = new if len(memo) else words
-                        for w in new:
-                            memo[w] = tuple(row_of[t] for t in word_terms(w) if t in row_of)
+                    for w in memo.missing(words):
+                        memo[w] = tuple(row_of[t] for t in word_terms(w) if t in row_of)
                     found = {t for x in map(memo.__getitem__, words) if x for t in x}
                     yield doc_id, machine.score(np.array(sorted(found), np.int64))
 

@@ -12,11 +12,13 @@ import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np
 import regex
 
 from .common import Memo
 
-MEMO_UNITS = 700_000
+MEMO_UNITS = 600_000
+MEMO_WORDS = 1_000_000
 #: A batch of new units ends at so many bytes.
 BATCH_BYTES = 1 << 20
 
@@ -24,6 +26,9 @@ _BYTE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Letters whose class no version of Unicode changes.
 _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+_RUN = re.compile(r"[^\s\w][,.]|_[,.]")
+_TWO_PIECES = re.compile(r"([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+)")
+_ONE_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+")
 
 
 def byte_units(text: str) -> list[str]:
@@ -34,8 +39,10 @@ def byte_units(text: str) -> list[str]:
 def word_units(text: str) -> list[str]:
     """Units of a lower-casing BPE that drops white space."""
     text = text.replace("\n", " ")
-    if text.isascii() and "<|" not in text:  # else lower-casing could make or unmake a special string
-        text = text.lower()
+    if "<|" not in text and (text.isascii() or _PLAIN.match(text) and "\u0130" not in text):
+        text = text.lower()  # as the tokenizer would, and no special string is made or unmade
+        if not _RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")  # pieces of their own
     return text.split(" ")
 
 
@@ -61,14 +68,11 @@ class ByteUnits:
 
     def learn(self, heads: set[str], rest: set[str], join) -> tuple[dict, Memo]:
         """Values of the first units of texts, and of all other units without their space."""
-        self.units.room(len(rest))
-        new = [u for u in rest if u not in self.units]
+        new = self.units.missing(rest)
         first = list(heads)
         cut = [self.cut(u) for u in first] + [self.cut(" " + u) for u in new]
         wanted = {p for c in cut for p in c}
-        self.pieces.room(len(wanted))
-        unknown = [p for p in wanted if p not in self.pieces]
-        for group in by_bytes(unknown):
+        for group in by_bytes(self.pieces.missing(wanted)):
             self.pieces.update(zip(group, self.encode(group)))
         value = self.pieces
         done = [join([value[p] for p in c]) if len(c) != 1 else value[c[0]] for c in cut]
@@ -82,20 +86,32 @@ class ByteUnits:
 
 
 class WordUnits:
-    """Values of the units of the word BPE; a full stop or comma after a letter is a piece of its own."""
+    """Values of the units of the word BPE, as bytes of ids.
 
-    def __init__(self, encode):
-        self.encode, self.units = encode, Memo(MEMO_UNITS)
+    A unit of letters and then punctuation is two pieces. Pieces of one kind are encoded many in one text: each ends
+    in a token that carries the word end, so the ids of the text fall apart into those of its pieces.
+    """
 
-    def learn(self, units: set[str], join) -> Memo:
-        self.units.room(2 * len(units))
+    def __init__(self, encode, ends: np.ndarray, code: str):
+        self.encode, self.ends, self.code, self.units = encode, ends, code, Memo(MEMO_WORDS)
+
+    def learn(self, units: set[str]) -> Memo:
         memo = self.units
-        new = [u for u in units if u not in memo]
-        split = {u: (u[:-1], u[-1]) for u in new if len(u) > 1 and u[-1] in ".,;:!?" and u[-2].isalpha() and u[-2] <= "ɏ"}
-        wanted = [u for u in new if u not in split]
-        wanted += {p for pair in split.values() for p in pair if p not in memo}.difference(wanted)
-        for group in by_bytes(wanted):
-            memo.update(zip(group, self.encode(group)))
-        for u, pair in split.items():
-            memo[u] = join([memo[p] for p in pair])
+        new = memo.missing(units)
+        split = {u: m.groups() for u in new if (m := _TWO_PIECES.fullmatch(u))}
+        wanted = {u for u in new if u not in split}
+        wanted.update(p for pair in split.values() for p in pair if p not in memo)
+        plain = [u for u in wanted if _ONE_PIECE.fullmatch(u)]
+        for group in by_bytes(plain):
+            (ids,) = self.encode([" ".join(group)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                raise ValueError("the tokenizer's pieces do not end in word ends")
+            size = np.dtype(self.code).itemsize
+            packed, cuts = np.asarray(ids, self.code).tobytes(), (size * cuts).tolist()
+            memo.update(zip(group, (packed[a:b] for a, b in zip([0, *cuts], cuts))))
+        for group in by_bytes([u for u in wanted if not _ONE_PIECE.fullmatch(u)]):
+            memo.update(zip(group, (np.asarray(ids, self.code).tobytes() for ids in self.encode(group))))
+        for u, (a, b) in split.items():
+            memo[u] = memo[a] + memo[b]
         return memo
