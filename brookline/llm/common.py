@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,28 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import fresh_path, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not path:
-        held = context._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="brookline-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there and survives a lost executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Memo", "fresh_path", "partitions", "portions", "shared_dir", "sliced", "staged", "to_batch", "vocabulary_text", "whole"]
 
 
 def whole(text: str | Column = "text") -> Column:
@@ -90,8 +69,8 @@ class Memo(dict):
 
     def missing(self, keys: set) -> list:
         """The keys to add. Starts anew if they don't fit, so it holds the larger of its limit and these keys."""
-        new = keys.difference(self)
+        new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.most and self:
             self.clear()
-            new = keys
-        return list(new)
+            new = list(keys)
+        return new

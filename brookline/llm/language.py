@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .common import Memo, portions, sliced, whole
 
 PLACES = 1 << 15
 PER_LANGUAGE = 600
+MEMO_WORDS = 500_000
 EPOCHS = 8
 FOLDS, FOLD = 3, 1
 UNKNOWN = "und"
@@ -47,16 +48,30 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 _memo: dict = {}
 
 
+class Grams(dict):
+    """Places of n-grams, kept for a worker's life while they are not too many."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        place = self[gram] = zlib.crc32(gram.encode()) % PLACES
+        return place
+
+
+_grams = Grams()
+
+
 def word_places(word: str) -> list[int]:
     """Places of a word's n-grams of 1 to 4 letters; very long words count by their first and last 40 letters."""
     if len(word) > 80:
         word = word[:40] + word[-40:]
     w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode()) % PLACES for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
+    grams, ends = _grams, range(1, len(w) + 1)
+    return [grams[w[i - n : i]] for i in ends for n in (1, 2, 3, 4) if n <= i]
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower())]
+    return _WORD.findall(text.lower())
 
 
 def has_letter(text: str) -> bool:
@@ -158,30 +173,53 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Machine
     return fit_machines(langs, rows)
 
 
+def learn(memo: Memo, table: np.ndarray, machines: Machines, words: set[str]) -> None:
+    """Adds to the table what each new word contributes to every machine; memo says where."""
+    new = memo.missing(words)
+    if not new:
+        return
+    places = [word_places(w) for w in new]
+    starts = np.cumsum([0] + [len(p) for p in places[:-1]])
+    first = len(memo)
+    table[first : first + len(new)] = np.add.reduceat(machines.weights[np.fromiter(chain.from_iterable(places), np.int64)], starts, axis=0)
+    memo.update(zip(new, range(first, first + len(new))))
+
+
+def _contributions(memo: Memo, table: np.ndarray, words: list[str]) -> tuple[np.ndarray, int]:
+    """Sum of the words' rows, and their letters."""
+    rows = table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
+    return rows.sum(axis=0, dtype=np.float64), sum(map(len, words))
+
+
 def _predicted(key: str, held):
     def run(batches):
         machines: Machines = held.value
         if key not in _memo:
             _memo.clear()
-            _memo[key] = Memo(500_000), np.zeros((500_001, len(machines.columns)), np.float32)
+            _memo[key] = Memo(MEMO_WORDS), np.zeros((MEMO_WORDS + 1, len(machines.columns)), np.float32)
         memo, table = _memo[key]
 
+        def long_text(words: list[str]) -> tuple[np.ndarray, int]:
+            z, n = np.zeros(table.shape[1]), 0
+            for part in (words[i : i + 100_000] for i in range(0, len(words), 100_000)):
+                learn(memo, table, machines, set(part))
+                more, letters = _contributions(memo, table, part)
+                z, n = z + more, n + letters
+            return z, n
+
         def rows():
-            for ids, texts in portions(batches):
-                for doc_id, text in zip(ids, texts):
-                    if not machines.languages or text is None or not has_letter(text):
+            for ids, texts in portions(batches, 1 << 20):
+                known = [t is not None and bool(machines.languages) and has_letter(t) for t in texts]
+                words = [words_of(t) if k else [] for t, k in zip(texts, known)]
+                together = sum(map(len, words)) <= 200_000
+                if together:
+                    learn(memo, table, machines, set().union(*words))
+                for doc_id, k, w in zip(ids, known, words):
+                    if k:
+                        z, n = _contributions(memo, table, w) if together else long_text(w)
+                        yield doc_id, *machines.decide(z / max(1, n) / 4)
+                    else:
                         yield doc_id, UNKNOWN, 0.0
-                        continue
-                    words = words_of(text)
-                    z, n = np.zeros(table.shape[1]), 0
-                    for part in (words[i : i + 100_000] for i in range(0, len(words), 100_000)):
-                        for w in memo.missing(set(part)):
-                            at = memo[w] = len(memo)
-                            places = word_places(w)
-                            table[at] = machines.weights[places].sum(axis=0)
-                        z += table[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
-                        n += sum(map(len, part))
-                    yield doc_id, *machines.decide(z / max(1, n) / 4)
 
         return sliced(rows(), _OUT)
 

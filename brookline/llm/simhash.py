@@ -18,6 +18,7 @@ repeated rows each have a row; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import accumulate
 
@@ -39,6 +40,7 @@ GROUP = 8192
 CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_DIGESTED = _PRINTS.append(pa.field("sha", pa.binary()))
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -71,23 +73,24 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(size: int):
+def _fingerprints(size: int, digest: bool):
     def run(batches):
         def rows():
             for ids, texts in portions(batches):
                 for doc_id, text in zip(ids, texts):
                     fp = fingerprint(text, size)
-                    yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+                    fp = fp - (1 << 64) if fp >> 63 else fp
+                    yield (doc_id, fp, hashlib.sha256(text).digest()) if digest else (doc_id, fp)
 
-        return sliced(rows(), _PRINTS)
+        return sliced(rows(), _DIGESTED if digest else _PRINTS)
 
     return run
 
 
-def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed integer)."""
+def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed integer); with digest also sha, the text's SHA-256."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint")
+    return source.mapInArrow(_fingerprints(words, digest), "doc_id bigint, fp bigint" + ", sha binary" * digest)
 
 
 def _keys(fp: Column) -> Column:
@@ -226,20 +229,28 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, group: int = GROU
     return sorted_.mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
+def _rooted(prints: DataFrame, radius: int, group: int) -> DataFrame:
+    """fp, root, least (the smallest doc_id of this fingerprint), one row per distinct fingerprint."""
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    stars = connected_components(fingerprint_links(distinct, radius, group))
+    return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id: one row per input row."""
     prints = staged(simhash_fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = connected_components(fingerprint_links(distinct, radius, group))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, radius, group)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The row of each component's smallest id; of several rows with this id the one of least text. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.struct("*").alias("__row"))
-    joined = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    return joined.dropDuplicates(["__id"]).select("__row.*")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """One row of each component stays, that of the smallest id (null last, ties by a digest of the text); all columns stay."""
+    prints = staged(simhash_fingerprints(docs, id_col, text_col, words, digest=True), "prints")
+    rooted = _rooted(prints, radius, group)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("sha"))).alias("first")
+    kept = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("__id"), F.lower(F.hex("first.sha")).alias("__sha"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.sha2(whole(text_col), 256).alias("__sha"), F.struct("*").alias("__row"))
+    found = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
+    return found.dropDuplicates(["__id", "__sha"]).select("__row.*")

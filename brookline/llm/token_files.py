@@ -14,7 +14,7 @@ Scale: one range shuffle of the texts, which are encoded after it; shards are si
 reader's memory is bounded by a shard and the longest document; the driver gets one number per shard.
 
 Defined results: null text counts as empty and gives a record of the end id alone; null doc_id comes first and is
-kept; rows of equal id come in the order of their texts; an empty table gives no records; other columns are ignored.
+kept; rows of equal id come in the order of a hash of their texts; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,21 +62,19 @@ def frame(doc_id: int | None, ids: array) -> bytes:
 
 
 def walk(shard, check: bool = True):
-    """offset, doc_id, token ids (an array without copy of the bytes' order) of each record in a shard's bytes."""
+    """offset, frame bytes, doc_id, token ids (a view) of each record in a shard's bytes."""
     view, at = memoryview(shard), 0
     while at < len(view):
         if at + 12 > len(view):
             raise CorruptRecord(f"cut off at {at}")
         n, crc = struct.unpack_from("<QI", view, at)
-        if masked(view[at : at + 8]) != crc or at + n + 17 > len(view):
+        if masked(view[at : at + 8]) != crc or n < _HEAD.size or at + n + 17 > len(view):
             raise CorruptRecord(f"length at {at}")
         payload = view[at + 12 : at + 12 + n]
         if view[at + 16 + n] != 10 or check and struct.unpack_from("<I", view, at + 12 + n)[0] != masked(payload):
             raise CorruptRecord(f"record at {at}")
         flags, doc_id = _HEAD.unpack_from(payload)
-        ids = array("I" if flags & 2 else "H")
-        ids.frombytes(payload[_HEAD.size :])
-        yield at, n + 17, None if flags & 1 else doc_id, ids
+        yield at, n + 17, None if flags & 1 else doc_id, np.frombuffer(payload[_HEAD.size :], "<u4" if flags & 2 else "<u2")
         at += n + 17
 
 
@@ -145,7 +143,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), -(-size // shard_bytes))
     held = vocabulary_text(spark, tokenizer_path)
-    ordered = source.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    tied = F.xxhash64("text")  # splits a repeated id over ranges, whose bounds hold no texts
+    ordered = source.repartitionByRange(n, F.col("doc_id"), tied).sortWithinPartitions(F.col("doc_id"), tied, F.col("text"))
     frames = ordered.mapInArrow(_frames(tokenizer_path, held, end_id), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(out.shards)
     _write_index(spark, out)
@@ -215,7 +214,7 @@ def read_digests(spark: SparkSession, files: TokenFiles) -> DataFrame:
         def rows():
             for path, shard in _buffers(batches):
                 for offset, _, doc_id, ids in walk(shard):
-                    yield _number(path), offset, doc_id, len(ids), zlib.crc32(ids if ids.typecode == "I" else array("I", ids))
+                    yield _number(path), offset, doc_id, len(ids), zlib.crc32(ids.astype("<u4").data)
 
         return sliced(rows(), _DIGESTS)
 

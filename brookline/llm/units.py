@@ -26,7 +26,7 @@ _BYTE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Letters whose class no version of Unicode changes.
 _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
-_RUN = re.compile(r"[^\s\w][,.]|_[,.]")
+_RUN = re.compile(r"[,.](?:(?<=[^\s\w].)|(?<=_.))")
 _TWO_PIECES = re.compile(r"([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+)")
 _ONE_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+")
 
