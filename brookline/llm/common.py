@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..staging import fresh_path, shared_dir, staged
 
-__all__ = ["Memo", "fresh_path", "partitions", "portions", "shared_dir", "sliced", "staged", "to_batch", "vocabulary_text", "whole"]
+__all__ = ["Memo", "fresh_path", "partitions", "portions", "rows_of", "shared_dir", "sliced", "staged", "to_batch", "vocabulary_text", "whole"]
 
 
 def whole(text: str | Column = "text") -> Column:
@@ -24,6 +24,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id and text's SHA-256 are in kept (doc_id, text_sha256), one each; one shuffle of docs."""
+    place = lambda ident, sha: (F.coalesce(ident, F.lit(0)).alias("__id"), ident.isNull().alias("__none"), sha.alias("__sha"))
+    rows = docs.select(*place(F.col(id_col).cast("bigint"), F.sha2(whole(text_col), 256)), F.struct("*").alias("__row"))
+    keys = ["__id", "__none", "__sha"]
+    return rows.join(kept.select(*place(F.col("doc_id"), F.col("text_sha256"))), keys, "left_semi").dropDuplicates(keys).select("__row.*")
+
+
 def sliced(rows: Iterable[tuple], schema: pa.Schema, weigh=None, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded size; weigh gives the bytes of a row."""
     held: list[tuple] = []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, sliced, staged, whole
+from .common import partitions, portions, rows_of, sliced, staged, whole
 from .components import connected_components
 
 WORDS = 3
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp, component_id: one row per input row."""
     prints = staged(simhash_fingerprints(docs, id_col, text_col, words), "prints")
     rooted = _rooted(prints, radius, group)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")  # a table, so that the join of a large component can be split
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -250,7 +250,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = _rooted(prints, radius, group)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("sha"))).alias("first")
     kept = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first)
-    kept = kept.select(F.col("first.doc_id").alias("__id"), F.lower(F.hex("first.sha")).alias("__sha"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.sha2(whole(text_col), 256).alias("__sha"), F.struct("*").alias("__row"))
-    found = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
-    return found.dropDuplicates(["__id", "__sha"]).select("__row.*")
+    kept = kept.select("first.doc_id", F.lower(F.hex("first.sha")).alias("text_sha256"))
+    return rows_of(docs, kept, id_col, text_col)
