@@ -8,6 +8,8 @@ fails the job. Quotes stay in values. The writer writes a header, and quotes a f
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,38 +25,65 @@ def header_names(line: str, separator: str) -> list[str]:
     return [x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x for x in names]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn(POS, F.monotonically_increasing_id())
+def _without_heads(batches):
+    """Drops the first line of each file: where path or block changes and the block is the file's first."""
+    last = None
+    for batch in batches:
+        if len(batch):
+            paths, starts = batch.column(2), batch.column(3)
+            same = pc.and_(pc.equal(paths[1:], paths[:-1]), pc.equal(starts[1:], starts[:-1]))
+            first = pa.array([(paths[0].as_py(), starts[0].as_py()) == last])
+            body = pc.or_(pa.concat_arrays([first, same]), pc.not_equal(starts, 0))
+            last = paths[-1].as_py(), starts[-1].as_py()
+            yield batch.select([0, 1]).filter(body)
 
 
-def _parts(lines: DataFrame, separator: str, header: bool, n: int) -> tuple[DataFrame, Column]:
-    if header:
-        lines = lines.filter(F.col(POS) != 0)
+def _lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """value and arrival order; header: without the first line of each file of the path."""
+    lines = spark.read.text(path).withColumn(POS, F.monotonically_increasing_id())
+    if not header:
+        return lines
+    placed = lines.select("value", POS, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"))
+    return placed.mapInArrow(_without_heads, f"value string, {POS} bigint")
+
+
+def _parts(lines: DataFrame, separator: str, n: int) -> tuple[DataFrame, Column]:
     return lines.withColumn("__parts", split_delimited(F.col("value"), separator)), F.size("__parts") == n
 
 
 def parse_lines(lines: DataFrame, separator: str, schema: FlowSchema | None = None, header: bool | None = None) -> Flow:
     """lines: value and arrival order. header: by default there is one exactly if no schema is given."""
     header = schema is None if header is None else header
-    if schema is None:
-        first = lines.orderBy(POS).limit(1).collect()
-        schema = FlowSchema.make(*((n, types_.STRING) for n in (header_names(first[0]["value"], separator) if first else [])))
-        if not schema.columns:
-            return Flow(lines.select(POS).limit(0), schema)
-    parts, fits = _parts(lines, separator, header, len(schema.columns))
+    schema = schema or _named(lines, separator)
+    if header:
+        lines = lines.filter(F.col(POS) != 0)
+    return _parsed(lines, separator, schema)
+
+
+def _named(lines: DataFrame, separator: str) -> FlowSchema:
+    first = lines.orderBy(POS).limit(1).collect()
+    return FlowSchema.make(*((n, types_.STRING) for n in (header_names(first[0]["value"], separator) if first else [])))
+
+
+def _parsed(lines: DataFrame, separator: str, schema: FlowSchema) -> Flow:
+    if not schema.columns:
+        return Flow(lines.select(POS).limit(0), schema)
+    parts, fits = _parts(lines, separator, len(schema.columns))
     plain = FlowColumn.make("x", types_.STRING).type
     flow = Flow(parts.filter(fits), schema)
     return flow.select([(types_.coerce(F.col("__parts")[i], plain, c.type), c) for i, c in enumerate(schema.columns)], schema.key)
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema: FlowSchema | None = None, header: bool | None = None) -> Flow:
-    """.gz files are opened as such. A file that is split has its header in the first split."""
-    return parse_lines(_lines(spark, path), separator, schema, header)
+    """.gz files are opened as such. Each file of a folder has its own header, in its first split."""
+    header = schema is None if header is None else header
+    schema = schema or _named(_lines(spark, path), separator)
+    return _parsed(_lines(spark, path, header), separator, schema)
 
 
 def rejected_lines(spark: SparkSession, path: str, separator: str, n: int, header: bool = True) -> DataFrame:
     """value and place of the lines with another number of fields than n."""
-    parts, fits = _parts(_lines(spark, path), separator, header, n)
+    parts, fits = _parts(_lines(spark, path, header), separator, n)
     return parts.filter(~fits).select("value", F.col(POS).alias("place"))
 
 
