@@ -122,10 +122,11 @@ def join_small_left(spark, sf):
 
 
 @query(f"""SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(c_name, 'none') AS c_name, coalesce(o_orderkey, 0) AS o_orderkey, coalesce(o_totalprice, 0) AS o_totalprice
-FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN ({_LAST}) o ON c_custkey = o_custkey""")
+FROM (SELECT * FROM customer WHERE c_acctbal > 2000) c FULL JOIN ({_LAST}) o ON c_custkey = o_custkey""")
 def join_small_full(spark, sf):
     a, b = _customer_orders(spark, sf)
-    a = a.with_df(a.df.filter("c_custkey % 2 = 0"), a.schema.with_defaults(c_name="none"))
+    a = flow(spark, sf, "customer", ["c_custkey", "c_name", "c_acctbal"]) | O.simple_filter(lambda t: t["c_acctbal"] > 2000) | O.drop_columns("c_acctbal")
+    a = a.with_df(a.df, a.schema.with_defaults(c_name="none"))
     return a.join_with(O.join(O.SMALL, O.FULL, ["c_custkey"], ["o_custkey"]), b).frame()
 
 
@@ -145,10 +146,10 @@ def join_large_left(spark, sf):
 
 
 @query("""SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(s_name, '') AS s_name, coalesce(c_name, '') AS c_name FROM supplier FULL JOIN
-(SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s_suppkey = c_custkey""")
+(SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c ON s_suppkey = c_custkey""")
 def join_large_full(spark, sf):
     a = flow(spark, sf, "supplier", ["s_suppkey", "s_name"])
-    b = flow(spark, sf, "customer", ["c_custkey", "c_name"]) | O.simple_filter(lambda t: t["c_custkey"] % 3 == 0)
+    b = flow(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"]) | O.filter_column("c_mktsegment", lambda x: x == "BUILDING") | O.drop_columns("c_mktsegment")
     return a.join_with(O.join(O.LARGE, O.FULL, ["s_suppkey"], ["c_custkey"]), b).frame()
 
 
@@ -175,11 +176,11 @@ def join_ordered_full(spark, sf):
 
 
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN b.o_totalprice ELSE a.o_totalprice END AS o_totalprice
-FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
+FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 300000) a FULL JOIN (SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders WHERE o_totalprice > 100000) b ON a.o_orderkey = b.o_orderkey""")
 def collate_ordered(spark, sf):
     base = flow(spark, sf, "orders", ["o_orderkey", "o_totalprice"], FlowKey.asc("o_orderkey", unique=True))
-    b = base | O.simple_filter(lambda t: t["o_orderkey"] % 3 == 0) | O.update_column("o_totalprice", lambda t, x: -x)
-    return (base | O.simple_filter(lambda t: t["o_orderkey"] % 2 == 0)).join_with(O.join_collate_ordered(["o_orderkey"]), b).frame()
+    b = base | O.simple_filter(lambda t: t["o_totalprice"] > 100000) | O.update_column("o_totalprice", lambda t, x: -x)
+    return (base | O.simple_filter(lambda t: t["o_totalprice"] < 300000)).join_with(O.join_collate_ordered(["o_orderkey"]), b).frame()
 
 
 @query("""SELECT coalesce(a.k, b.k) AS l_partkey, round(coalesce(a.q, 0) + coalesce(b.q, 0), 2) AS l_quantity FROM
@@ -191,14 +192,14 @@ def collate_sum(spark, sf):
     return (part("A").join_with(O.join_collate_sum(O.LARGE, ["l_partkey"], "l_quantity"), part("R")) | O.update_column("l_quantity", lambda t, x: F.round(x, 2))).frame()
 
 
-@query("""WITH a AS (SELECT p_brand, p_size, p_partkey FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_brand, p_size, p_partkey FROM part WHERE p_partkey % 2 = 1)
+@query("""WITH a AS (SELECT p_brand, p_size, p_partkey FROM part WHERE p_retailprice < 1000), b AS (SELECT p_brand, p_size, p_partkey FROM part WHERE p_retailprice >= 1000)
 SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, p_partkey FROM a UNION ALL SELECT p_brand, CAST(p_size AS BIGINT), p_partkey FROM
 (SELECT b.*, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS k, (SELECT count(*) FROM a WHERE a.p_brand = b.p_brand AND a.p_size = b.p_size) AS n FROM b) x WHERE k > n""")
 def sequence_field_merge(spark, sf):
     """Two nested columns for each brand, merged by part size."""
-    base = flow(spark, sf, "part", ["p_brand", "p_size", "p_partkey"], FlowKey.asc("p_partkey", unique=True))
-    part = lambda r, n: base | O.simple_filter(lambda t: t["p_partkey"] % 2 == r) | O.group(["p_brand"], n)
-    both = part(0, "l").join_with(O.join(O.LARGE, O.FULL, ["p_brand"], ["brand"]), part(1, "r") | O.rename_columns({"p_brand": "brand"}))
+    base = flow(spark, sf, "part", ["p_brand", "p_size", "p_partkey", "p_retailprice"], FlowKey.asc("p_partkey", unique=True))
+    part = lambda dear, n: base | O.simple_filter(lambda t: (t["p_retailprice"] >= 1000) == F.lit(dear)) | O.drop_columns("p_retailprice") | O.group(["p_brand"], n)
+    both = part(False, "l").join_with(O.join(O.LARGE, O.FULL, ["p_brand"], ["brand"]), part(True, "r") | O.rename_columns({"p_brand": "brand"}))
     return (both | O.sequence_field_merge(O.ORDERED, ("l", "r", "merged"), ["p_size"]) | O.keep_columns("p_brand", "merged") | O.flatten("merged")).frame()
 
 
