@@ -13,8 +13,9 @@ Scale: one shuffle of the texts; a range holds a like share of rows (at most MOS
 spilling. The driver gets the quantiles.
 
 Defined results: null text counts as empty; the empty text has an empty fingerprint, like itself (1) and unlike any
-other (0); texts of fewer than K units have all their S-mers as anchors, those of fewer than S units the text itself;
-null ids come first; rows of equal id follow each other by text; after the last row comes the first; an empty table
+other (0); every other text has an anchor. K-mers are sure to have one chosen among them from 2K - S - 1 units on;
+texts of fewer units have all their S-mers as anchors and then their chosen k-mers, if any, so a copy on either side of
+that bound shares some with most; those of fewer than S units have the text itself as anchor; null ids come first; rows of equal id follow each other by text; after the last row comes the first; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -44,6 +45,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Array of the anchors' 24-bit hashes, in order."""
     window = k - s + 1
+    sure = 2 * (k - s)  # with so many s-mers, k - s k-mers in a row, one of them is chosen
     short = F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(text).bitwiseAND(F.lit(0xFFFFFF))))
 
     def chosen(smers: Column) -> Column:
@@ -58,7 +60,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     few = lambda smers: F.transform(smers, lambda x: x.bitwiseAND(F.lit(0xFFFFFF)))
 
     def by_size(smers: Column) -> Column:
-        return F.when(F.size(smers) >= window, chosen(smers)).when(F.size(smers) > 0, few(smers)).otherwise(short)
+        n = F.size(smers)
+        return F.when(n >= sure, chosen(smers)).when(n >= window, F.concat(few(smers), chosen(smers))).when(n > 0, few(smers)).otherwise(short)
 
     def inner(hashes: Column) -> Column:
         count = F.greatest(F.size(hashes) - (s - 1), F.lit(0))
@@ -73,7 +76,7 @@ def as_text(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice share of the distinct anchors."""
+    """Dice share of the distinct anchors; only empty texts have none, so without any the texts are equal."""
     total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 

@@ -90,3 +90,22 @@ def test_empty_one_row_and_clashing(spark, none, clashing, rows):
 def test_no_python_in_the_plan(docs):
     plan = compare_edited(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop", "SinglePartition"))
+
+
+def test_every_short_text_has_anchors(spark):
+    """8 to 12 units are too few k-mers for one to be sure; 13 are enough."""
+    rng = random.Random(9)
+    unit = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(3))
+    texts = [" ".join(unit() for _ in range(n)) for n in range(1, 15) for _ in range(40)]
+    got = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(r.fingerprint for r in got) and len({r.fingerprint for r in got}) == len(set(texts))
+
+
+def test_short_texts_are_like_their_copies_only(spark):
+    rng = random.Random(10)
+    unit = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(3))
+    base = [[unit() for _ in range(n)] for n in (8, 8, 9, 10, 11, 12) for _ in range(10)]
+    rows = [(" ".join(b), " ".join(b[:-1]), " ".join(base[i - 1])) for i, b in enumerate(base)]
+    near = lambda a, b: syncmers.likeness(syncmers.anchors(F.col(a)), syncmers.anchors(F.col(b)))
+    got = spark.createDataFrame(rows, "own string, shorter string, other string").withColumn("empty", F.lit("")).select(near("own", "shorter"), near("own", "other"), near("own", "own"), near("own", "empty")).collect()
+    assert all(r[0] >= 0.5 and r[1] < 0.2 and r[2] == 1.0 and r[3] == 0.0 for r in got)
