@@ -3,7 +3,9 @@
 A text is the sum of its words' character n-grams (with word edges), hashed to 2**15 places; directions, not lengths,
 are compared, so a long text needs no more care than a short one. A linear support vector machine per family picks the
 family; within it one machine for each pair of languages votes, and margins break ties. Since everything is linear,
-a word's contribution to every machine is worked out once and kept in a bounded memo.
+a word's contribution to every machine is worked out once and kept in a bounded memo. A run of more than LONG letters
+(text without spaces) is counted whole as well, in slices of SLICE places for the n-grams that end there, and is not
+kept in the memo.
 
 Machines are fitted on the driver from a sample of at most PER_LANGUAGE rows of each language (those of least hash).
 
@@ -33,6 +35,8 @@ from .common import Memo, portions, sliced, whole
 PLACES = 1 << 15
 PER_LANGUAGE = 600
 MEMO_WORDS = 500_000
+#: Letters of the longest word that the memo holds, and letters of a slice of longer ones.
+LONG, SLICE = 80, 4096
 EPOCHS = 8
 FOLDS, FOLD = 3, 1
 UNKNOWN = "und"
@@ -62,14 +66,21 @@ _grams = Grams()
 
 
 def word_places(word: str) -> list[int]:
-    """Places of a word's n-grams of 1 to 4 letters; very long words count by their first and last 40 letters."""
-    if len(word) > 80:
-        word = word[:40] + word[-40:]
+    """Places of a word's n-grams of 1 to 4 letters."""
     w = f"<{word}>"
     grams, ends = _grams, range(1, len(w) + 1)
     return [grams[w[i - n : i]] for i in ends for n in (1, 2, 3, 4) if n <= i]
 
 
+def place_slices(word: str):
+    """The same by slices; n-grams belong to the slice in which they end."""
+    w = f"<{word}>"
+    grams = _grams
+    for at in range(0, len(w), SLICE):
+        ends = range(at + 1, min(at + SLICE, len(w)) + 1)
+        yield [grams[w[i - n : i]] for i in ends for n in (1, 2, 3, 4) if n <= i]
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -148,7 +159,8 @@ def _featured(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = np.zeros(PLACES)
                 for w in words_of(text):
-                    np.add.at(counts, word_places(w), 1)
+                    for places in place_slices(w):
+                        np.add.at(counts, places, 1)
                 at = np.flatnonzero(counts)
                 if len(at):
                     yield lang, at.tolist(), (counts[at] / np.linalg.norm(counts)).tolist()
@@ -191,6 +203,15 @@ def _contributions(memo: Memo, table: np.ndarray, words: list[str]) -> tuple[np.
     return rows.sum(axis=0, dtype=np.float64), sum(map(len, words))
 
 
+def _long_words(machines: Machines, words: list[str]) -> tuple[np.ndarray, int]:
+    """The same of words that the memo doesn't hold."""
+    z = np.zeros(len(machines.columns))
+    for w in words:
+        for places in place_slices(w):
+            z += machines.weights[places].sum(axis=0, dtype=np.float64)
+    return z, sum(map(len, words))
+
+
 def _predicted(key: str, held):
     def run(batches):
         machines: Machines = held.value
@@ -211,12 +232,20 @@ def _predicted(key: str, held):
             for ids, texts in portions(batches, 1 << 20):
                 known = [t is not None and bool(machines.languages) and has_letter(t) for t in texts]
                 words = [words_of(t) if k else [] for t, k in zip(texts, known)]
+                runs: dict[int, list[str]] = {}
+                for i, w in enumerate(words):
+                    if w and max(map(len, w)) > LONG:
+                        runs[i] = [x for x in w if len(x) > LONG]
+                        words[i] = [x for x in w if len(x) <= LONG]
                 together = sum(map(len, words)) <= 200_000
                 if together:
                     learn(memo, table, machines, set().union(*words))
-                for doc_id, k, w in zip(ids, known, words):
+                for i, (doc_id, k, w) in enumerate(zip(ids, known, words)):
                     if k:
                         z, n = _contributions(memo, table, w) if together else long_text(w)
+                        if i in runs:
+                            more, letters = _long_words(machines, runs[i])
+                            z, n = z + more, n + letters
                         yield doc_id, *machines.decide(z / max(1, n) / 4)
                     else:
                         yield doc_id, UNKNOWN, 0.0

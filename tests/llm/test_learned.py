@@ -126,3 +126,36 @@ def test_many_languages_and_families(spark):
     assert set(machines.families) == {"germanic", "romance", "xx"} and ("de", "en") in machines.columns
     got = {r.doc_id: r.lang_pred for r in language.predict_language(docs, machines).collect()}
     assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.97
+
+
+def test_runs_of_letters_count_whole(spark, monkeypatch):
+    """Text without spaces: the middle decides, though it begins and ends in the other language."""
+    rng = random.Random(4)
+    letters = {"aa": "abcd", "bb": "efgh"}
+    run = lambda x, n: "".join(rng.choice(letters[x]) for _ in range(n))
+    rows = [(i, run(x, 60), x, "s", 0) for i in range(200) for x in [rng.choice(list(letters))]]
+    machines = language.train_language(spark.createDataFrame(rows, SCHEMA))
+    mixed = [(0, run("aa", 40) + run("bb", 600) + run("aa", 40), None, "s", 0), (1, run("bb", 40) + run("aa", 9000) + run("bb", 40), None, "s", 0), (2, run("aa", 30) + " " + run("bb", 300), None, "s", 0)]
+    got = {r.doc_id: r for r in language.predict_language(spark.createDataFrame(mixed, SCHEMA), machines).collect()}
+    assert [got[i].lang_pred for i in range(3)] == ["bb", "aa", "bb"]
+    for doc_id, text, *_ in mixed:
+        z = np.zeros(len(machines.columns))
+        for w in text.split():
+            w = f"<{w}>"
+            for i in range(len(w)):
+                for n in range(1, min(4, len(w) - i) + 1):
+                    z += machines.weights[zlib.crc32(w[i : i + n].encode()) % language.PLACES]
+        want = machines.decide(z / len(text.replace(" ", "")) / 4)
+        assert got[doc_id].lang_pred == want[0] and abs(got[doc_id].score - want[1]) < 1e-5
+    monkeypatch.setattr(language, "SLICE", 7)
+    assert sum(language.place_slices(mixed[0][1]), []) == language.word_places(mixed[0][1])
+
+
+def test_training_reads_whole_runs():
+    import pyarrow as pa
+
+    text = "".join(random.Random(5).choices("abcdefghijkl", k=9000))
+    [batch] = language._featured([pa.record_batch({"lang": ["x"], "text": [text]})])
+    w = f"<{text}>"
+    want = {zlib.crc32(w[i : i + n].encode()) % language.PLACES for i in range(len(w)) for n in (1, 2, 3, 4) if i + n <= len(w)}
+    assert set(batch.column(1)[0].as_py()) == want
