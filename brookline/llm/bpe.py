@@ -7,12 +7,13 @@ prefixes are back-pointers, and following them from the end gives the ids. Time
 but for the few suffixes at each place; there is no queue of merges.
 
 Pieces are those of the usual byte-level pattern, and special strings in the text become their ids, as in the
-tokenizers library's default. Each distinct piece is encoded once a worker (units.py).
+tokenizers library's default. Each distinct piece is encoded once while a worker's memo holds it (units.py). A file
+whose settings mean anything else (a prefix space, a normalizer, dropout and the like) is refused.
 
-Scale: a map without shuffle; memos are bounded.
+Scale: a map without shuffle; memos are bounded in bytes, and a piece takes four bytes for each of its own.
 
 Defined results: null text counts as empty, with no ids; null doc_id and repeated rows are kept; an empty table gives
-an empty result; columns other than the two named are ignored.
+an empty result; texts and pieces of any length are encoded whole; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, portions, sliced, vocabulary_text, whole
-from .units import PIECES, ByteUnits, byte_units
+from .common import portions, sliced, vocabulary_text, whole, worker_state
+from .units import PIECES, ByteUnits
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_BYTE = 255
-_workers: dict = {}
+#: Pairs of tokens whose compatibility is kept.
+MOST_PAIRS = 300_000
+#: Bytes of a piece that are searched at a time.
+CHUNK = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -44,18 +47,31 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def unsupported(config: dict) -> list[str]:
+    """Settings of a tokenizers file that this codec doesn't follow."""
+    model, cut, decoder = config["model"], config.get("pre_tokenizer") or {}, config.get("decoder") or {}
+    found = [f"model.{k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges", "unk_token") if model.get(k)]
+    found += [k for k, bad in (
+        ("model.type", model.get("type", "BPE") != "BPE"), ("normalizer", config.get("normalizer")), ("pre_tokenizer.type", cut.get("type") != "ByteLevel"),
+        ("pre_tokenizer.add_prefix_space", cut.get("add_prefix_space")), ("pre_tokenizer.use_regex", not cut.get("use_regex", True)), ("decoder.type", decoder.get("type") != "ByteLevel"),
+    ) if bad]
+    return found + [f"added_tokens.{k}" for t in config["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+
+
 class Codec:
     """Encoder and decoder of a byte-level BPE vocabulary in the tokenizers library's file format."""
 
     def __init__(self, config: dict):
+        if wrong := unsupported(config):
+            raise ValueError(f"not a plain byte-level BPE: {', '.join(wrong)}")
         model = config["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        letters = byte_letters()
-        self._to_letters = {b: letters[b] for b in range(256)}
-        byte_of = {c: b for b, c in enumerate(letters)}
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        own = {i: bytes(map(byte_of.__getitem__, t)) for t, i in vocab.items()}
+        self.bytes_of = own | {i: t.encode() for t, i in self.special.items()}
+        self._length = {i: len(b) for i, b in own.items()}
         self.rank: dict[int, int] = {}
         self.made: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -66,11 +82,11 @@ class Codec:
             if whole_ not in self.parts:
                 self.parts[whole_], self.rank[whole_] = (a, b), r
         self._valid: dict[int, bool] = {}
-        self._pairs = Memo(2_000_000)
+        self._pairs: dict[int, bool] = {}
         self._suffixes = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            if len(t) == 1 or i in self.parts:
-                self._suffixes.add_word(t, (len(t), i))
+        for i, b in own.items():
+            if len(b) == 1 or i in self.parts:
+                self._suffixes.add_word(b.decode("latin-1"), i)
         self._suffixes.make_automaton()
 
     def compatible(self, left: int, right: int, below: float = float("inf")) -> bool:
@@ -96,31 +112,48 @@ class Codec:
             got = self._valid[token] = parts is None or self.stands(parts[0]) and self.stands(parts[1]) and self.compatible(*parts, self.rank[token])
         return got
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece of the pattern."""
-        letters = "".join(map(self._to_letters.__getitem__, text.encode()))
-        last: list[tuple[int, int]] = []  # of each prefix: its last token, and where that starts
-        pairs = self._pairs
-        for end, (length, token) in self._suffixes.iter(letters):
-            if len(last) > end:
+    def _suffix_tokens(self, data: bytes):
+        """(end, token) of every entry that ends at a place, place by place; long pieces are searched chunk by chunk."""
+        found = self._suffixes.iter(data[:CHUNK].decode("latin-1"))  # a character for each byte
+        yield from found
+        for at in range(CHUNK, len(data), CHUNK):
+            found.set(data[at : at + CHUNK].decode("latin-1"))
+            yield from found
+
+    def last_tokens(self, data: bytes) -> array:
+        """Of each prefix of a piece's bytes, its last token."""
+        last, pairs, length, done = array("i", bytes(4 * len(data))), self._pairs, self._length, 0
+        if len(pairs) > MOST_PAIRS:
+            pairs.clear()
+        for end, token in self._suffix_tokens(data) if len(data) > CHUNK else self._suffixes.iter(data.decode("latin-1")):
+            if done > end:
                 continue
-            start = end + 1 - length
+            start = end + 1 - length[token]
             if start:
-                key = (last[start - 1][0], token)
+                key = last[start - 1] << 32 | token
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) >= pairs.most:
-                        pairs.clear()
-                    ok = pairs[key] = self.stands(token) and self.compatible(*key)
+                    ok = pairs[key] = self.stands(token) and self.compatible(last[start - 1], token)
             else:
                 ok = self.stands(token)
             if ok:
-                last.append((token, start))
-        ids, at = [], len(letters)
+                last[done] = token
+                done += 1
+        return last
+
+    def piece(self, text: str) -> array:
+        """Ids of one piece of the pattern."""
+        last, length = self.last_tokens(text.encode()), self._length
+        ids, at = array("I"), len(last)
         while at:
-            token, at = last[at - 1]
+            token = last[at - 1]
             ids.append(token)
-        return ids[::-1]
+            at -= length[token]
+        ids.reverse()
+        return ids
+
+    def count(self, text: str) -> int:
+        return len(self.piece(text))
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -137,24 +170,23 @@ class Codec:
 
 
 def _packed(codec: Codec):
-    """Encodes what units.ByteUnits cuts: single pieces, and whole units with special strings in them."""
-    special = tuple(codec.special)
-    return lambda group: [array("I", codec.encode(u) if any(map(u.__contains__, special)) else codec.piece(u)).tobytes() for u in group]
+    """Encodes what units.ByteUnits cuts: single pieces and special strings."""
+    special = {t: array("I", [i]).tobytes() for t, i in codec.special.items()}
+    return lambda group: [special.get(u) or codec.piece(u).tobytes() for u in group]
 
 
 def _codec(key: str, text: str) -> tuple[Codec, ByteUnits]:
-    if key not in _workers:
+    def make():
         codec = Codec(json.loads(text))
-        _workers[key] = codec, ByteUnits(_packed(codec), tuple(codec.special), pieces=True)
-    return _workers[key]
+        encode = _packed(codec)
+        return codec, ByteUnits(encode, b"".join, lambda found: sum(map(len, found)), lambda p: encode([p])[0], tuple(codec.special), pieces=True)
 
+    return worker_state(("bpe", key), make)
 
-def _encoded(batches, codec: Codec, units: ByteUnits):
+
+def _encoded(batches, units: ByteUnits):
     for ids, texts in portions(batches):
-        cut = [byte_units(t) for t in texts]
-        heads, memo = units.learn({c[0] for c in cut}, set().union(*(c[1:] for c in cut)), b"".join)
-        for doc_id, c in zip(ids, cut):
-            yield doc_id, heads[c[0]] + b"".join(map(memo.__getitem__, c[1:]))
+        yield from zip(ids, units.each(texts))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,8 +198,8 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     held = vocabulary_text(docs.sparkSession, tokenizer_path)
 
     def run(batches):
-        codec, units = _codec(tokenizer_path, held.value)
-        rows = ((d, array("I", b).tolist()) for d, b in _encoded(batches, codec, units))
+        _, units = _codec(tokenizer_path, held.value)
+        rows = ((d, array("I", b).tolist()) for d, b in _encoded(batches, units))
         return sliced(rows, _IDS, lambda r: 4 * len(r[1]))
 
     return _source(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -194,7 +226,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
         codec, units = _codec(tokenizer_path, held.value)
 
         def rows():
-            for doc_id, packed in _encoded(batches, codec, units):
+            for doc_id, packed in _encoded(batches, units):
                 text = codec.decode(array("I", packed))
                 yield doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 

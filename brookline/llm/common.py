@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..staging import fresh_path, shared_dir, staged
+from ..staging import discard, fresh_path, settled, shared_dir, staged
 
-__all__ = ["Memo", "fresh_path", "partitions", "portions", "rows_of", "shared_dir", "sliced", "staged", "to_batch", "vocabulary_text", "whole"]
+__all__ = ["Memo", "discard", "fresh_path", "least_hashes", "partitions", "portions", "rows_of", "settled", "shared_dir", "sliced", "staged", "to_batch", "vocabulary_text", "whole", "worker_state"]
+
+#: What the operator that ran last in this worker keeps from task to task.
+_kept: dict[Hashable, Any] = {}
+#: Bytes that a memo's entry takes besides its key and value, and letters of the longest key that stays.
+ENTRY_BYTES, LONG_KEY = 200, 256
 
 
 def whole(text: str | Column = "text") -> Column:
@@ -25,11 +35,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def rows_of(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id and text's SHA-256 are in kept (doc_id, text_sha256), one each; one shuffle of docs."""
+    """The rows of docs whose id and text's SHA-256 are in kept (doc_id, text_sha256), one each; one shuffle of docs.
+
+    Of rows that agree in both, the one of the least digest of all other columns stays, whatever the order of rows.
+    """
     place = lambda ident, sha: (F.coalesce(ident, F.lit(0)).alias("__id"), ident.isNull().alias("__none"), sha.alias("__sha"))
-    rows = docs.select(*place(F.col(id_col).cast("bigint"), F.sha2(whole(text_col), 256)), F.struct("*").alias("__row"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]), {"ignoreNullFields": "false"}), 256) if others else F.lit("")
+    rows = docs.select(*place(F.col(id_col).cast("bigint"), F.sha2(whole(text_col), 256)), F.struct("*").alias("__row"), digest.alias("__digest"))
     keys = ["__id", "__none", "__sha"]
-    return rows.join(kept.select(*place(F.col("doc_id"), F.col("text_sha256"))), keys, "left_semi").dropDuplicates(keys).select("__row.*")
+    found = rows.join(kept.select(*place(F.col("doc_id"), F.col("text_sha256"))), keys, "left_semi")
+    return found.groupBy(*keys).agg(F.min_by("__row", "__digest").alias("__row")).select("__row.*")
 
 
 def sliced(rows: Iterable[tuple], schema: pa.Schema, weigh=None, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -51,6 +67,35 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def least_hashes(rows: DataFrame, by: str, ident: str, most: dict | int) -> DataFrame:
+    """Of the distinct (by, ident) of rows: for each value of by (or of those in most), the most[value] (or most) of the least hash of ident.
+
+    What is over a share of the hash's range that leaves somewhat more than enough goes before anything is shuffled, so
+    that what a task ranks does not grow with rows or tasks. Where a share leaves too few (repeated idents), a larger
+    one is taken, up to all.
+    """
+    own = rows.select(F.col(by).alias("__by"), F.col(ident).alias("__ident")).withColumn("__hash", F.xxhash64("__ident"))
+    counts = dict(own.groupBy("__by").count().collect())  # a row for each value
+    if isinstance(most, int):
+        most = dict.fromkeys(counts, most)
+    counts = {k: n for k, n in counts.items() if k in most}
+    share = {k: min(1.0, (1.2 * most[k] + 200) / n) for k, n in counts.items()}
+    first = W.partitionBy("__by").orderBy("__hash", "__ident")
+    while True:
+        under = F.lit(False)
+        for k, x in share.items():
+            under = under | ((F.col("__by") == k) & (F.col("__hash") <= (1 << 63) - 1 if x >= 1 else (F.col("__hash") < int((2 * x - 1) * (1 << 63)))))
+        ranked = own.filter(under).groupBy("__by", "__ident", "__hash").agg(F.lit(1).alias("__one")).withColumn("__n", F.row_number().over(first))
+        limit = reduce(lambda c, k: F.when(F.col("__by") == k, most[k]).otherwise(c), counts, F.lit(0))
+        found = staged(ranked.filter(F.col("__n") <= limit).select(F.col("__by").alias(by), F.col("__ident").alias(ident)), "sample")
+        got = {k: n for k, n in found.groupBy(by).count().collect()}
+        few = [k for k in share if share[k] < 1 and got.get(k, 0) < most[k]]
+        if not few:
+            return found
+        discard(found)
+        share |= {k: min(1.0, 8 * share[k]) for k in few}
+
+
 def vocabulary_text(spark: SparkSession, path: str):
     """Broadcast of a tokenizer file (a few MB whatever the data): executors need no such path."""
     with open(path, encoding="utf-8") as f:
@@ -68,17 +113,56 @@ def portions(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> It
             start = end
 
 
+def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make gives, kept in this worker from task to task. It takes the place of what another operator kept, so the stages of a job do not add up."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Memo(dict):
-    """A dictionary that starts anew when full, so a worker's memory stays bounded."""
+    """A dictionary for a worker's life, of at most so many bytes besides what one call adds.
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
+    Half of the bytes are for entries of now; when these are used up they become the entries of before, which come
+    back when asked for, and the former ones of before go. Long keys leave at the next call.
+    """
 
-    def missing(self, keys: set) -> list:
-        """The keys to add. Starts anew if they don't fit, so it holds the larger of its limit and these keys."""
-        new = [k for k in keys if k not in self]
-        if len(self) + len(new) > self.most and self:
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.most, self.held, self.before, self.long = most_bytes // 2, 0, {}, []
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys whose values add() is to be given; all others are there until the next call."""
+        for k in self.long:
+            self.pop(k, None)
+        self.long = []
+        if self.held > self.most:
+            self.before, self.held = dict(self), 0
             self.clear()
-            new = list(keys)
+        before, new, back = self.before, [], []
+        for k in keys:
+            if k not in self:
+                value = before.get(k)
+                if value is None:
+                    new.append(k)
+                else:
+                    self[k] = value
+                    back.append(k)
+        self._weigh(back, 0)
         return new
+
+    def add(self, keys: list, values: Iterable, value_bytes: int = 0) -> None:
+        """value_bytes: of all values; no value is None."""
+        self.update(zip(keys, values))
+        long = [k for k in keys if len(k) > LONG_KEY]
+        self.long += long
+        self._weigh(keys if not long else [k for k in keys if len(k) <= LONG_KEY], 0 if long else value_bytes)
+
+    def _weigh(self, keys: list, value_bytes: int) -> None:
+        self.held += ENTRY_BYTES * len(keys) + 2 * sum(map(len, keys)) + value_bytes

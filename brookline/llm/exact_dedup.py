@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, rows_of, sliced, staged, whole
+from .common import partitions, portions, rows_of, sliced, staged, whole, worker_state
 
 BLOCK_BYTES = 4096
 MEMO_BYTES = 16 << 20
@@ -61,6 +61,8 @@ def _weigh(row) -> int:
 
 def _cut(block_bytes: int):
     def run(batches):
+        worker_state("exact dedup", lambda: True)
+
         def rows():
             rid = TaskContext.get().partitionId() << 40
             for ids, texts in portions(batches):

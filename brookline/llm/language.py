@@ -7,14 +7,18 @@ a word's contribution to every machine is worked out once and kept in a bounded
 (text without spaces) is counted whole as well, in slices of SLICE places for the n-grams that end there, and is not
 kept in the memo.
 
-Machines are fitted on the driver from a sample of at most PER_LANGUAGE rows of each language (those of least hash).
+Machines are fitted on the driver from a sample of at most PER_LANGUAGE ids of each language (those of least hash, one
+text for each).
 
 Scale: a map without shuffle; the machines (2**15 numbers each) are broadcast; the ids of the sample, bounded by
-PER_LANGUAGE times the number of languages, are broadcast to find its texts.
-
-Defined results: null texts and texts without a letter are "und" with score 0; null lang is not learned from; with no
-row to learn from everything is "und"; with one language every text with a letter is of it; a null doc_id is not held
-out and not learned from; repeated rows each have a row; other columns are ignored.
+PER_LANGUAGE times the number of languages, are broadcast to find its texts; a worker's memo and its table of the
+words' contributions are bounded in bytes whatever the number of machines.
+
+Defined results: null texts and texts without a letter are "und" with score 0; null lang is not learned from; of
+several texts of one id and language the one of the least hash is learned from; with no row to learn from everything is
+"und"; with one language every text with a letter is of it; a null doc_id is not held out and not learned from; an
+empty table gives an empty result; texts of any length are read whole, PART words at a time, and their words' sums
+added; repeated rows each have a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, portions, sliced, whole
+from .common import discard, least_hashes, portions, sliced, worker_state
 
 PLACES = 1 << 15
 PER_LANGUAGE = 600
-MEMO_WORDS = 500_000
+#: Bytes of the memo of words and of the table beside it, and words of a text that are looked up at a time.
+MEMO_BYTES, TABLE_BYTES, PART = 96 << 20, 64 << 20, 100_000
+MOST_GRAMS = 300_000
 #: Letters of the longest word that the memo holds, and letters of a slice of longer ones.
 LONG, SLICE = 80, 4096
 EPOCHS = 8
@@ -49,33 +54,29 @@ FAMILIES = {c: f for f, codes in {
 _WORD = re.compile(r"[^\W\d_]+")
 _SAMPLE = pa.schema([("lang", pa.string()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-_memo: dict = {}
 
 
 class Grams(dict):
-    """Places of n-grams, kept for a worker's life while they are not too many."""
+    """Places of n-grams, kept while they are not too many."""
 
     def __missing__(self, gram: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > MOST_GRAMS:
             self.clear()
         place = self[gram] = zlib.crc32(gram.encode()) % PLACES
         return place
 
 
-_grams = Grams()
-
-
-def word_places(word: str) -> list[int]:
+def word_places(word: str, grams: Grams | None = None) -> list[int]:
     """Places of a word's n-grams of 1 to 4 letters."""
     w = f"<{word}>"
-    grams, ends = _grams, range(1, len(w) + 1)
+    grams, ends = Grams() if grams is None else grams, range(1, len(w) + 1)
     return [grams[w[i - n : i]] for i in ends for n in (1, 2, 3, 4) if n <= i]
 
 
-def place_slices(word: str):
+def place_slices(word: str, grams: Grams | None = None):
     """The same by slices; n-grams belong to the slice in which they end."""
     w = f"<{word}>"
-    grams = _grams
+    grams = Grams() if grams is None else grams
     for at in range(0, len(w), SLICE):
         ends = range(at + 1, min(at + SLICE, len(w)) + 1)
         yield [grams[w[i - n : i]] for i in ends for n in (1, 2, 3, 4) if n <= i]
@@ -154,12 +155,14 @@ def fit_machines(langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def _featured(batches):
+    grams = Grams()
+
     def rows():
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = np.zeros(PLACES)
                 for w in words_of(text):
-                    for places in place_slices(w):
+                    for places in place_slices(w, grams):
                         np.add.at(counts, places, 1)
                 at = np.flatnonzero(counts)
                 if len(at):
@@ -174,10 +177,10 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = FOLD) -> Co
 
 def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Machines:
     known = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).filter(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & F.col("__id").isNotNull() & ~held_out("__id"))
-    order = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    first = known.select("__id", "__lang").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language)
-    sample = F.broadcast(first.select("__id", "__lang").distinct())  # per_language rows a language
-    table = known.join(sample, ["__id", "__lang"]).select("__lang", "__text").mapInArrow(_featured, "lang string, places array<int>, counts array<float>").toArrow()
+    sample = least_hashes(known, "__lang", "__id", per_language)
+    texts = known.join(F.broadcast(sample), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    table = texts.select("__lang", "__text").mapInArrow(_featured, "lang string, places array<int>, counts array<float>").toArrow()
+    discard(sample)  # per_language ids of each language
     langs, rows = [], []
     for batch in table.to_batches():
         langs += batch.column(0).to_pylist()
@@ -185,48 +188,59 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Machine
     return fit_machines(langs, rows)
 
 
-def learn(memo: Memo, table: np.ndarray, machines: Machines, words: set[str]) -> None:
-    """Adds to the table what each new word contributes to every machine; memo says where."""
-    new = memo.missing(words)
-    if not new:
-        return
-    places = [word_places(w) for w in new]
-    starts = np.cumsum([0] + [len(p) for p in places[:-1]])
-    first = len(memo)
-    table[first : first + len(new)] = np.add.reduceat(machines.weights[np.fromiter(chain.from_iterable(places), np.int64)], starts, axis=0)
-    memo.update(zip(new, range(first, first + len(new))))
-
-
-def _contributions(memo: Memo, table: np.ndarray, words: list[str]) -> tuple[np.ndarray, int]:
-    """Sum of the words' rows, and their letters."""
-    rows = table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
-    return rows.sum(axis=0, dtype=np.float64), sum(map(len, words))
-
-
-def _long_words(machines: Machines, words: list[str]) -> tuple[np.ndarray, int]:
-    """The same of words that the memo doesn't hold."""
-    z = np.zeros(len(machines.columns))
-    for w in words:
-        for places in place_slices(w):
-            z += machines.weights[places].sum(axis=0, dtype=np.float64)
-    return z, sum(map(len, words))
+class Words:
+    """What words contribute to every machine: a bounded table of rows, and a memo of their places in it."""
+
+    def __init__(self, machines: Machines, memo_bytes: int = MEMO_BYTES, table_bytes: int = TABLE_BYTES):
+        self.machines, self.most = machines, max(1, min(memo_bytes // 250, table_bytes // (4 * max(1, len(machines.columns)))))
+        self.rows: dict[str, int] = {}
+        self.grams = Grams()
+        self.table = np.zeros((0, len(machines.columns)), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes room for the words, of which there may be more than the table holds otherwise, and adds those that are new."""
+        new = [w for w in words if w not in self.rows]
+        if not new:
+            return
+        if self.rows and len(self.rows) + len(new) > self.most:
+            self.rows, new = {}, list(words)
+        first, end = len(self.rows), len(self.rows) + len(new)
+        if end > len(self.table):
+            grown = np.zeros((max(end, min(self.most, 2 * end)), self.table.shape[1]), np.float32)
+            grown[:first] = self.table[:first]
+            self.table = grown
+        places = [word_places(w, self.grams) for w in new]
+        starts = np.cumsum([0] + [len(p) for p in places[:-1]])
+        self.table[first:end] = np.add.reduceat(self.machines.weights[np.fromiter(chain.from_iterable(places), np.int64)], starts, axis=0)
+        self.rows.update(zip(new, range(first, end)))
+
+    def sums(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Sum of the rows of words that are known, and their letters."""
+        rows = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        return rows.sum(axis=0, dtype=np.float64), sum(map(len, words))
+
+    def sums_of_all(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The same of any words, PART at a time."""
+        z, n = np.zeros(self.table.shape[1]), 0
+        for part in (words[i : i + PART] for i in range(0, len(words), PART)):
+            self.learn(set(part))
+            more, letters = self.sums(part)
+            z, n = z + more, n + letters
+        return z, n
+
+    def sums_of_long(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The same of words that the table doesn't hold."""
+        z = np.zeros(self.table.shape[1])
+        for w in words:
+            for places in place_slices(w, self.grams):
+                z += self.machines.weights[places].sum(axis=0, dtype=np.float64)
+        return z, sum(map(len, words))
 
 
 def _predicted(key: str, held):
     def run(batches):
         machines: Machines = held.value
-        if key not in _memo:
-            _memo.clear()
-            _memo[key] = Memo(MEMO_WORDS), np.zeros((MEMO_WORDS + 1, len(machines.columns)), np.float32)
-        memo, table = _memo[key]
-
-        def long_text(words: list[str]) -> tuple[np.ndarray, int]:
-            z, n = np.zeros(table.shape[1]), 0
-            for part in (words[i : i + 100_000] for i in range(0, len(words), 100_000)):
-                learn(memo, table, machines, set(part))
-                more, letters = _contributions(memo, table, part)
-                z, n = z + more, n + letters
-            return z, n
+        table: Words = worker_state(("language", key), lambda: Words(machines))
 
         def rows():
             for ids, texts in portions(batches, 1 << 20):
@@ -237,14 +251,14 @@ def _predicted(key: str, held):
                     if w and max(map(len, w)) > LONG:
                         runs[i] = [x for x in w if len(x) > LONG]
                         words[i] = [x for x in w if len(x) <= LONG]
-                together = sum(map(len, words)) <= 200_000
+                together = sum(map(len, words)) <= 2 * PART  # else the portion is one long text
                 if together:
-                    learn(memo, table, machines, set().union(*words))
+                    table.learn(set().union(*words))
                 for i, (doc_id, k, w) in enumerate(zip(ids, known, words)):
                     if k:
-                        z, n = _contributions(memo, table, w) if together else long_text(w)
+                        z, n = table.sums(w) if together else table.sums_of_all(w)
                         if i in runs:
-                            more, letters = _long_words(machines, runs[i])
+                            more, letters = table.sums_of_long(runs[i])
                             z, n = z + more, n + letters
                         yield doc_id, *machines.decide(z / max(1, n) / 4)
                     else:

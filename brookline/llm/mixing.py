@@ -10,8 +10,9 @@ most BROADCAST_SOURCES; beyond that the join is dealt out by source and salt, so
 
 Defined results: a null source is a source of its own; null doc_id counts as the text "null" in the digest, so rows
 without id in one source are repeated alike, as are repeated rows; null text and other columns pass through; a source
-with weight 0 or without a weight goes; an empty table gives an empty result. Input columns named copy, n_copies or
-mix_key give way to those of the result.
+with weight 0 or without a weight goes; an empty table gives an empty result; texts of any length pass as they are.
+Input columns named copy, n_copies or mix_key give way to those of the result; with tagged=False the result has the
+input's columns only, such ones included.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict | No
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     weighed = staged(counts.withColumn("weight", weight.cast("double")), "sources")
-    n, all_weight = weighed.agg(F.sum("n_docs"), F.sum("weight")).first()
-    wanted = F.lit((n or 0) * float(size_factor)) * F.col("weight") / F.lit(all_weight or 1.0)
+    n, all_weight = weighed.agg(F.sum("n_docs"), F.sum(F.col("weight").cast("decimal(38, 15)"))).first()  # a sum that no order of rows changes
+    wanted = F.lit((n or 0) * float(size_factor)) * F.col("weight") / F.lit(float(all_weight or 1.0))
     return weighed.select("source", "n_docs", F.when(F.col("weight") > 0, wanted / F.col("n_docs")).otherwise(0.0).alias("rate"))
 
 
@@ -61,14 +62,14 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["all"]
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, temperature: float = 2.0, size_factor: float = 1.0, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """The copies in shuffled order: columns of docs, copy (from 1), n_copies, mix_key."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, temperature: float = 2.0, size_factor: float = 1.0, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES, tagged: bool = True) -> DataFrame:
+    """The copies in shuffled order: columns of docs and, if tagged, copy (from 1), n_copies, mix_key."""
     rates = source_rates(docs, source_col, weights, temperature, size_factor)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
     rates = rates.select(F.col("source").alias("__source"), pieces.alias("__pieces"), _distribution(F.col("rate") / pieces).alias("__cdf"))
     few = rates.limit(broadcast_sources + 1).count() <= broadcast_sources
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if not tagged or c not in ADDED]
     rows = docs.select(F.col(source_col).alias("__source"), ident.alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
     if few:
         joined = rows.join(F.broadcast(rates), rows["__source"].eqNullSafe(rates["__source"]))
@@ -82,4 +83,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     drawn = joined.withColumn("__u", uniform(F.lit(str(seed)), F.col("__id"), F.lit("1"))).select("__id", "__row", (first + more).alias("n_copies"))
     copies = drawn.filter("n_copies > 0").select("__id", "__row", "n_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))).alias("copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), "__id", F.col("copy").cast("string"))))
-    return keyed.orderBy("mix_key", "__id", "copy").select("__row.*", "copy", "n_copies", "mix_key")
+    return keyed.orderBy("mix_key", "__id", "copy").select("__row.*", *(ADDED if tagged else ()))

@@ -1,13 +1,16 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are split at safe boundaries (units.py), new units are encoded in batches of about equal bytes, and a text's
-count is the sum over its units. Any tokenizers file (.json) and SentencePiece model (.model) can be counted; the
-split is used where the file is byte-level BPE with the usual pattern, other files encode whole texts in batches.
+count is the sum over its units. A single piece of over 65,536 characters, which has no safe boundary, is counted by
+the linear encoder of bpe.py. Any tokenizers file (.json) and SentencePiece model (.model) can be counted; the split is
+used where the file is byte-level BPE with the usual pattern, other files encode whole texts in batches, for their
+rules need not have a boundary that is known to be safe.
 
-Scale: a map without shuffle; a worker's memo is bounded, and so is a batch, whatever the length of the texts.
+Scale: a map without shuffle; a worker's memo is bounded in bytes, and so is a batch, whatever the length of the texts.
 
 Defined results: null text counts as empty, with 0 bytes and 0 tokens; null doc_id is kept; repeated rows each have
-their row; an empty table gives an empty result; columns other than the two named are ignored.
+their row; an empty table gives an empty result; texts of any length are counted whole; columns other than the two
+named are ignored.
 """
 
 from __future__ import annotations
@@ -18,35 +21,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, sliced, vocabulary_text, whole
-from .units import ByteUnits, by_bytes, byte_units
+from .bpe import Codec, unsupported
+from .common import portions, sliced, vocabulary_text, whole, worker_state
+from .units import ByteUnits, by_bytes
 
 LIMIT = 512
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-_workers: dict = {}
 
 
 def splits_by_bytes(config: dict) -> bool:
-    """Whether the boundaries of units.byte_units are safe for this tokenizers file."""
-    kind = config.get("pre_tokenizer") or {}
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and " " not in t["content"] for t in config["added_tokens"])
-    return kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not config.get("normalizer") and plain
+    """Whether the boundaries of units.py are safe for this tokenizers file."""
+    return not unsupported(config) and all(" " not in t["content"] for t in config["added_tokens"])
 
 
 def _counter(key: str, text: str):
-    """A worker keeps its tokenizer and memo from task to task."""
-    if key not in _workers:
+    """encode, and the memo of units if the file has safe boundaries; kept from task to task."""
+
+    def make():
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         encode = lambda group: [len(e.ids) for e in tokenizer.encode_batch(group, add_special_tokens=False)]
-        config = json.loads(text)
+        config, codec = json.loads(text), []
+
+        def single(piece: str) -> int:
+            if not codec:
+                codec.append(Codec(config))
+            return codec[0].count(piece)
+
         special = tuple(t["content"] for t in config["added_tokens"])
-        _workers[key] = (encode, ByteUnits(encode, special) if splits_by_bytes(config) else None)
-    return _workers[key]
+        return encode, ByteUnits(encode, sum, lambda found: 0, single, special) if splits_by_bytes(config) else None
+
+    return worker_state(("counts", key), make)
 
 
 def _count_json(key: str, held):
@@ -55,12 +64,7 @@ def _count_json(key: str, held):
 
         def rows():
             for ids, texts in portions(batches):
-                if units is None:
-                    counts = (n for group in by_bytes(texts) for n in encode(group))
-                else:
-                    cut = [byte_units(t) for t in texts]
-                    heads, memo = units.learn({c[0] for c in cut}, set().union(*(c[1:] for c in cut)), sum)
-                    counts = (heads[c[0]] + sum(map(memo.__getitem__, c[1:])) for c in cut)
+                counts = units.each(texts) if units else (n for group in by_bytes(texts) for n in encode(group))
                 for doc_id, text, n in zip(ids, texts, counts):
                     yield doc_id, len(text.encode()), n
 
@@ -71,11 +75,12 @@ def _count_json(key: str, held):
 
 def _count_model(key: str, held):
     def run(batches):
-        if key not in _workers:
+        def make():
             import sentencepiece
 
-            _workers[key] = sentencepiece.SentencePieceProcessor(model_proto=held.value)
-        encode = _workers[key].encode
+            return sentencepiece.SentencePieceProcessor(model_proto=held.value)
+
+        encode = worker_state(("counts", key), make).encode
 
         def rows():
             for ids, texts in portions(batches):

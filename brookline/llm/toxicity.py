@@ -6,15 +6,18 @@ sees an insult together with a mention, which additive weights miss. Terms enter
 long texts aren't scored by their length.
 
 The model is fitted on the driver from a sample of labelled rows, bounded by MOST_TOXIC and MOST_CLEAN (those with the
-least hash of doc_id); terms that do not tell the classes apart in it (a G-test) get no weight. Clean rows weigh as in
-all labels, so the prior is kept.
+least hash of doc_id, one text for each id); terms that do not tell the classes apart in it (a G-test) get no weight.
+Clean rows weigh as in all labels, so the prior is kept.
 
-Scale: scoring is a map without shuffle; the model is at most KEPT_TERMS rows and is broadcast; a worker's memo is
-bounded. The sample's ids, at most MOST_TOXIC + MOST_CLEAN, are broadcast to find its texts.
+Scale: scoring is a map without shuffle; the model has a row for each term that tells the classes apart, at most
+PLACES, and is broadcast; a worker's memo is bounded in bytes. The sample's ids, at most MOST_TOXIC + MOST_CLEAN, are
+broadcast to find its texts.
 
 Defined results: null and empty texts have no terms and score the bias; rows without label, or with a null one, are
-not learned from; with no labelled row of one of the classes every score is the share of toxic labels (0 if none);
-null doc_id is not held out and not learned from; repeated rows each have a row; other columns are ignored.
+not learned from; an id with labels of both classes counts as toxic; of several texts of one id the one of the least
+hash is learned from; with no labelled row of one of the classes every score is the share of toxic labels (0 if none);
+null doc_id is not held out and not learned from; an empty table gives an empty result; texts of any length are read
+whole; repeated rows each have a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, portions, sliced, whole
+from .common import Memo, discard, least_hashes, portions, sliced, whole, worker_state
 
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
 FACTORS = 8
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-KEPT_TERMS = 20_000
+MEMO_BYTES = 96 << 20
 #: Least G statistic of a term.
 LEAST_G = 12.0
 EPOCHS = 30
@@ -42,7 +45,6 @@ FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _TERMS = pa.schema([("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-_memo: dict = {}
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -91,7 +93,6 @@ def fit_machine(labels: np.ndarray, offsets: np.ndarray, places: np.ndarray, cle
         part = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
         g = 2 * (part(a, t * share) + part(b, f * share) + part(t - a, t * (1 - share)) + part(f - b, f * (1 - share)))
     kept = np.flatnonzero(np.nan_to_num(g) >= LEAST_G)
-    kept = np.sort(kept[np.argsort(-g[kept], kind="stable")[:KEPT_TERMS]])
     at = np.searchsorted(kept, places)
     there = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == places) if len(kept) else np.zeros(len(places), bool)
     at, row_of = at[there], row_of[there]
@@ -140,11 +141,13 @@ def _featured(batches):
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Machine:
     """A machine from the labelled rows that are not held out; labels has doc_id and toxic."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).filter(F.col("__toxic").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
+    known = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     counts = dict(known.groupBy("__toxic").count().collect())
-    first = lambda c, n: known.filter(F.col("__toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(n)
-    sample = F.broadcast(first(1, most_toxic).unionByName(first(0, most_clean)))  # bounded by the two limits
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), whole(text_col).alias("__text")).join(sample, "__id")
+    sample = least_hashes(known, "__toxic", "__id", {1: most_toxic, 0: most_clean})
+    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), whole(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # bounded by the two limits
+    rows = texts.groupBy("__id", "__toxic").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
     table = rows.select("__toxic", "__text").mapInArrow(_featured, "toxic int, terms array<int>").toArrow().combine_chunks()
+    discard(sample)
     terms = table.column("terms").combine_chunks()
     if isinstance(terms, pa.ChunkedArray):
         terms = terms.chunk(0) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -158,17 +161,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def _scored(key: str, held):
     def run(batches):
         machine = held.value
-        if key not in _memo:
-            _memo.clear()
-            _memo[key] = Memo(700_000), {int(t): i for i, t in enumerate(machine.terms)}
-        memo, row_of = _memo[key]
+        memo, row_of = worker_state(("toxicity", key), lambda: (Memo(MEMO_BYTES), {int(t): i for i, t in enumerate(machine.terms)}))
 
         def rows():
             for ids, texts in portions(batches):
                 for doc_id, text in zip(ids, texts):
                     words = words_of(text)
-                    for w in memo.missing(words):
-                        memo[w] = tuple(row_of[t] for t in word_terms(w) if t in row_of)
+                    new = memo.missing(words)
+                    memo.add(new, [tuple(row_of[t] for t in word_terms(w) if t in row_of) for w in new])
                     found = {t for x in map(memo.__getitem__, words) if x for t in x}
                     yield doc_id, machine.score(np.array(sorted(found), np.int64))
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from brookline.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
@@ -51,3 +52,13 @@ def test_empty(none):
 
 def test_clashing_columns(clashing, rows):
     assert exact_duplicates(clashing).count() == len(rows)
+
+
+def test_ties_are_decided_by_all_other_columns(spark):
+    """Rows of one id and text: the same one stays in whatever order they come."""
+    rows = [(1, "same", x) for x in "abcdef"] + [(2, "other", None), (2, "other", "z")]
+    kept = set()
+    for seed in range(4):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").orderBy(F.rand(seed)).repartition(3)
+        kept.add(tuple(sorted(map(repr, drop_exact_duplicates(frame).collect()))))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2

@@ -1,13 +1,18 @@
 """Toxicity and language: held-out accuracy, and the odd rows."""
 
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from brookline.llm import language, toxicity
+from brookline.llm.common import least_hashes
 
 DATA = "/root/testdata/sf0.1"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -81,7 +86,7 @@ def test_odd_rows(spark, rows, clashing, none, labelled):
     machine = toxicity.train_toxicity(docs, labels)
     kept = toxicity.drop_toxic(clashing, labels)
     assert kept.columns == clashing.columns and kept.count() == len(rows)
-    assert len(machine.terms) <= toxicity.KEPT_TERMS
+    assert len(machine.terms) <= toxicity.PLACES
     stay = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
     assert all((i in stay) == (by[i] == 0) for i in by)
 
@@ -93,6 +98,90 @@ def test_sample_is_bounded(spark, labelled):
     assert len(small.terms) <= len(whole.terms)
 
 
+def test_scores_are_the_plain_sums(spark, rows, labelled):
+    """Bias, weights and the inner product of every pair of a text's terms, in a plain loop."""
+    more, marks = labelled
+    docs = spark.createDataFrame(rows + more, SCHEMA)
+    machine = toxicity.train_toxicity(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    row_of = {int(t): i for i, t in enumerate(machine.terms)}
+
+    def plain(text):
+        words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+        places = {zlib.crc32(w.encode()) % toxicity.PLACES for w in words} | {zlib.crc32(b"^" + w[:n].encode()) % toxicity.PLACES for w in words for n in toxicity.PREFIXES if len(w) >= n}
+        own = [row_of[p] for p in places if p in row_of]
+        z = machine.bias + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for i, j in itertools.combinations(own, 2))
+        return 1 / (1 + math.exp(-min(40, max(-40, z))))
+
+    got = sorted(r.score for r in toxicity.score_toxicity(docs, machine).collect())
+    assert np.allclose(got, sorted(plain(r[1]) for r in rows + more), atol=1e-9)
+
+
+def test_repeated_ids_do_not_break_the_bounds(spark, labelled, monkeypatch):
+    """20,000 rows of one id are one row of the sample, in labels and in documents."""
+    more, marks = labelled
+    many = spark.range(20_000).selectExpr("1001 as doc_id", "concat('word', id) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    docs = spark.createDataFrame(more, SCHEMA).unionByName(many)
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int").unionByName(many.selectExpr("doc_id", "0 as toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_machine", lambda marks, *a: seen.append(len(marks)))
+    toxicity.train_toxicity(docs, labels, most_toxic=50, most_clean=60)
+    assert sum(seen) <= 110
+    monkeypatch.setattr(language, "fit_machines", lambda langs, rows: seen.append(len(rows)))
+    language.train_language(docs.withColumn("doc_id", F.col("doc_id") + 2), per_language=70)
+    assert seen[-1] == 70
+
+
+def test_samples_are_those_of_the_least_hashes(spark):
+    rows = spark.range(40_000).selectExpr("id", "if(id % 10 = 0, 'few', 'many') as kind").withColumn("h", F.xxhash64("id"))
+    for most in (50, 3_000, 9_000):
+        got = {(r.kind, r.id) for r in least_hashes(rows.unionByName(rows), "kind", "id", {"few": most, "many": most}).collect()}
+        want = {(k, r.id) for k in ("few", "many") for r in rows.filter(F.col("kind") == k).orderBy("h", "id").limit(most).collect()}
+        assert got == want
+
+
+def test_predictions_are_the_plain_sums(spark, rows):
+    """The machines' sums over all n-grams of all words, in a plain loop, and the choice of family and then of language."""
+    rng = random.Random(2)
+    letters = {"en": "abcd", "de": "abef", "fr": "ghij", "es": "ghkl", "nl": "abmn"}
+    some = [(i, " ".join("".join(rng.choice(letters[x]) for _ in range(6)) for _ in range(15)), x, "s", 0) for i in range(300) for x in [rng.choice(list(letters))]]
+    machines = language.train_language(spark.createDataFrame(some, SCHEMA))
+    got = {r.doc_id: r for r in language.predict_language(spark.createDataFrame(some, SCHEMA), machines).collect()}
+    weights = {c: machines.weights[:, i].astype(float) for i, c in enumerate(machines.columns)}
+    for doc_id, text, *_ in some:
+        sums, n = dict.fromkeys(machines.columns, 0.0), 0
+        for word in text.lower().split():
+            n += len(word)
+            w = f"<{word}>"
+            for size in (1, 2, 3, 4):
+                for i in range(len(w) - size + 1):
+                    for c in sums:
+                        sums[c] += weights[c][zlib.crc32(w[i : i + size].encode()) % language.PLACES]
+        mean = {c: x / n / 4 for c, x in sums.items()}
+        family = max(machines.families, key=lambda f: mean[f, None])
+        own = [x for x in machines.languages if language.FAMILIES.get(x, x) == family]
+        won = lambda x, y: mean[x, y] > 0 if (x, y) in mean else -mean[y, x] > 0
+        margin = lambda x: sum(mean[x, y] if (x, y) in mean else -mean[y, x] for y in own if y != x)
+        best = max(own, key=lambda x: (sum(won(x, y) for y in own if y != x), margin(x), x))
+        assert got[doc_id].lang_pred == best
+
+
+def test_small_tables_and_long_texts_give_the_same(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    machines = language.train_language(docs)
+    whole = sorted(map(repr, language.predict_language(docs, machines).collect()))
+    monkeypatch.setattr(language, "PART", 7)
+    words = language.Words(machines, memo_bytes=250 * 20)
+    for _, text, *_ in rows:
+        found = [w for w in language.words_of(text or "") if len(w) <= language.LONG]
+        if found:
+            z, n = words.sums_of_all(found)
+            once = language.Words(machines)
+            once.learn(set(found))
+            other, letters = once.sums(found)
+            assert np.allclose(z, other, atol=1e-3) and n == letters
+    assert len(words.rows) <= 20 and whole
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     truth = dict(zip(*(pq.read_table(f"{DATA}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "lang"))))
