@@ -5,16 +5,19 @@ bytes, the payload, 4 bytes masked checksum of the payload, and the end byte 0x0
 payload is: 1 byte flags (bit 0: the id is null; bit 1: token ids take 4 bytes, else 2), 8 bytes document id, the token
 ids. A masked checksum is crc32 rotated right by 15 bits plus 0xA282EAD8, so that checksums of data holding checksums
 stay meaningful. Shards hold ascending document ids, and so do their numbers. The index (Parquet) has a row per
-record: shard, file, byte offset, frame bytes, doc_id, start (token ids of all records before it), n_tokens.
+record: shard, file, byte offset, frame bytes, doc_id, start (token ids of all records before it), n_tokens. A reader
+that goes through a shuffled index seeks to each offset and reads that frame alone (read_at, ShardReader).
 
 Files are written by Spark's own committer as lines of the text source (the end byte is the line's end), so any file
 system that Spark writes can hold them, and the frames of a task that is lost or run twice are not seen twice.
 
-Scale: one range shuffle of the texts, which are encoded after it; shards are sized by SHARD_BYTES of text, so a
-reader's memory is bounded by a shard and the longest document; the driver gets one number per shard.
+Scale: one range shuffle of the texts, which are encoded after it. A task begins a new shard where the frames at hand
+would come to more than SHARD_BYTES, however its rows are dealt, so a reader's memory is bounded by a shard or by the
+longest frames. The driver gets nothing that grows; one task adds up a row for each shard.
 
 Defined results: null text counts as empty and gives a record of the end id alone; null doc_id comes first and is
-kept; rows of equal id come in the order of a hash of their texts; an empty table gives no records; other columns are ignored.
+kept; rows of equal id come in the order of a hash of their texts, repeated rows one after the other; an empty table
+gives no records; texts of any length are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, portions, sliced, vocabulary_text, whole
-from .units import WordUnits, word_units
+from .common import fresh_path, partitions, portions, sliced, vocabulary_text, whole, worker_state
+from .units import WordUnits
 
-SHARD_BYTES = 64 << 20
+#: Bytes of a shard, and of the frames that are handed to its writer at a time.
+SHARD_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 END_ID = 1
 _HEAD = struct.Struct("<Bq")
 _FRAMES = pa.schema([("frame", pa.binary())])
@@ -42,7 +48,6 @@ _INDEX = "shard bigint, file string, offset bigint, frame_bytes bigint, doc_id b
 _INDEX_ARROW = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("frame_bytes", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _DIGESTS = pa.schema([("shard", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 _RECORDS = pa.schema([("shard", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
-_workers: dict = {}
 
 
 class CorruptRecord(ValueError):
@@ -95,7 +100,7 @@ def splits_at_space(config: dict) -> bool:
 
 
 def _word_encoder(key: str, text: str):
-    if key not in _workers:
+    def make():
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(text)
@@ -109,27 +114,36 @@ def _word_encoder(key: str, text: str):
             ends = np.zeros(tokenizer.get_vocab_size(), bool)
             ends[[i for t, i in config["model"]["vocab"].items() if t.endswith(end)]] = True
             units = WordUnits(encode, ends, "<u2" if code == "H" else "<u4")
-        _workers[key] = code, encode, units
-    return _workers[key]
+        return code, encode, units
 
+    return worker_state(("token files", key), make)
 
-def _frames(key: str, held, end_id: int):
+
+def _chunks(frames, most: int):
+    """Frames, without the last one's end byte (the line's end follows), together up to so many bytes."""
+    held, size = [], 0
+    for f in frames:
+        if held and size + len(f) > most:
+            yield (b"".join(held)[:-1],)
+            held, size = [], 0
+        held.append(f)
+        size += len(f)
+    if held:
+        yield (b"".join(held)[:-1],)
+
+
+def _frames(key: str, held, end_id: int, chunk_bytes: int):
     def run(batches):
         code, encode, units = _word_encoder(key, held.value)
         end = array(code, [end_id]).tobytes()
 
-        def rows():
+        def frames():
             for ids, texts in portions(batches):
-                if units is None:
-                    packed = (array(code, encode([t])[0]).tobytes() for t in texts)
-                else:
-                    cut = [word_units(t) for t in texts]
-                    memo = units.learn(set().union(*cut))
-                    packed = (b"".join(map(memo.__getitem__, c)) for c in cut)
+                packed = units.each(texts) if units else (array(code, encode([t])[0]).tobytes() for t in texts)
                 for doc_id, p in zip(ids, packed):
-                    yield (frame(doc_id, array(code, p + end))[:-1],)  # the line's end follows
+                    yield frame(doc_id, array(code, p + end))
 
-        return sliced(rows(), _FRAMES, lambda r: len(r[0]))
+        return sliced(_chunks(frames(), chunk_bytes), _FRAMES, lambda r: len(r[0]))
 
     return run
 
@@ -145,8 +159,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     held = vocabulary_text(spark, tokenizer_path)
     tied = F.xxhash64("text")  # splits a repeated id over ranges, whose bounds hold no texts
     ordered = source.repartitionByRange(n, F.col("doc_id"), tied).sortWithinPartitions(F.col("doc_id"), tied, F.col("text"))
-    frames = ordered.mapInArrow(_frames(tokenizer_path, held, end_id), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(out.shards)
+    chunk = max(1, min(CHUNK_BYTES, shard_bytes // 4))
+    frames = ordered.mapInArrow(_frames(tokenizer_path, held, end_id, chunk), "frame binary")
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", max(1, shard_bytes // chunk)).text(out.shards)
     _write_index(spark, out)
     return out
 
@@ -156,7 +171,9 @@ def _shards(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
 
 def _number(path: str) -> int:
-    return int(re.search(r"part-(\d+)[^/]*\Z", path)[1])
+    """A shard's number: its task's, then its place among the task's files."""
+    task, place = re.search(r"part-(\d+)[^/]*-c(\d+)[^/]*\Z", path).groups()
+    return int(task) << 24 | int(place)
 
 
 def _buffers(batches):
@@ -179,11 +196,9 @@ def _write_index(spark: SparkSession, files: TokenFiles) -> None:
     within = _shards(spark, files).mapInArrow(run, _INDEX)
     within.write.parquet(files.index + "-within")
     within = spark.read.parquet(files.index + "-within")
-    before, total = [], 0
-    for shard, n in sorted(within.groupBy("shard").agg(F.sum("n_tokens")).collect()):  # a row per shard
-        before.append((shard, total))
-        total += n
-    bases = F.broadcast(spark.createDataFrame(before, "shard bigint, before bigint"))  # 16 bytes a shard
+    sums = within.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
+    before = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    bases = sums.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     whole_index = within.join(bases, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before")
     whole_index.write.parquet(files.index)
 
@@ -202,6 +217,44 @@ def read_records(spark: SparkSession, files: TokenFiles) -> DataFrame:
     return _shards(spark, files).mapInArrow(run, "shard bigint, offset bigint, doc_id bigint, ids array<bigint>")
 
 
+class ShardReader:
+    """Single records by their place: seeks in a shard and reads no more than the frame. Some shards stay open."""
+
+    def __init__(self, files: TokenFiles, most_open: int = 8):
+        self._fs, self._root = FileSystem.from_uri(files.shards)
+        self._open: dict = {}
+        self._most = most_open
+
+    def read(self, file: str, offset: int, frame_bytes: int) -> tuple[int | None, np.ndarray]:
+        """doc_id and token ids, checked."""
+        if file not in self._open:
+            if len(self._open) >= self._most:
+                self._open.pop(next(iter(self._open))).close()
+            self._open[file] = self._fs.open_input_file(f"{self._root}/{file}")
+        self._open[file].seek(offset)
+        [(_, size, doc_id, ids)] = walk(self._open[file].read(frame_bytes))
+        if size != frame_bytes:
+            raise CorruptRecord(f"record of {size} bytes, not {frame_bytes}")
+        return doc_id, ids
+
+
+def read_at(files: TokenFiles, wanted: DataFrame) -> DataFrame:
+    """shard, offset, doc_id, ids of the records that rows of the index name, in their order."""
+
+    def run(batches):
+        reader = ShardReader(files)
+
+        def rows():
+            for batch in batches:
+                for shard, file, offset, size in zip(*(c.to_pylist() for c in batch.columns)):
+                    doc_id, ids = reader.read(file, offset, size)
+                    yield shard, offset, doc_id, ids.tolist()
+
+        return sliced(rows(), _RECORDS, lambda r: 8 * len(r[3]))
+
+    return wanted.select("shard", "file", "offset", "frame_bytes").mapInArrow(run, "shard bigint, offset bigint, doc_id bigint, ids array<bigint>")
+
+
 def shuffled_reads(spark: SparkSession, files: TokenFiles, seed: int = 0) -> DataFrame:
     """The index in an order drawn by seed, for a reader that seeks from record to record."""
     return read_index(spark, files).orderBy(F.xxhash64(F.lit(seed), "shard", "offset"), "shard", "offset")

@@ -7,9 +7,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brookline.llm import bpe, token_counts, token_files
+from brookline.llm import bpe, common, token_counts, token_files
+from brookline.llm import units as units_
 from brookline.llm.queries import tokenizer_file
-from brookline.llm.units import WordUnits, byte_units, word_units
+from brookline.llm.units import WordUnits, byte_units, safe_parts, word_units
 
 tokenizers = pytest.importorskip("tokenizers")
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -76,17 +77,93 @@ def test_counts_of_a_sentencepiece_model(docs, rows):
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == sorted(want, key=repr)
 
 
-def test_memo_starts_anew_and_counts_stay(docs, rows, monkeypatch):
-    import brookline.llm.units as units
+def test_memo_starts_anew_and_counts_stay(rows, library, monkeypatch):
+    monkeypatch.setattr(units_, "MEMO_UNITS", 5 * 400)
+    monkeypatch.setattr(units_, "SLICE", 900)
+    texts = [r[1] or "" for r in rows]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    with open(BYTE) as f:
+        text = f.read()
+    monkeypatch.setattr(common, "_kept", {})
+    _, held = token_counts._counter("tiny", text)
+    monkeypatch.setattr(common, "_kept", {})
+    _, packed = bpe._codec("tiny", text)
+    for _ in range(2):
+        assert [held.each([t])[0] for t in texts] == held.each(texts) == want
+        assert [len(packed.each([t])[0]) // 4 for t in texts] == [len(x) // 4 for x in packed.each(texts)] == want
+    assert len(held.units) + len(held.units.before) < 1000
+
+
+def test_memo_holds_bytes():
+    memo = common.Memo(100_000)
+    for i in range(50):
+        keys = [f"key {i} {j}" for j in range(60)] + [str(i) + "x" * 5000]
+        new = memo.missing([*keys, "always"])
+        memo.add(new, [len(k) for k in new])
+        assert all(memo[k] == len(k) for k in keys) and memo["always"] == 6
+        assert len(memo) + len(memo.before) < 800 and sum(len(k) > 256 for k in [*memo, *memo.before]) <= 2
+        assert new[-1] != "always" or i == 0
+
+
+def test_worker_keeps_one_operator_s_state(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    first = common.worker_state("a", lambda: [1])
+    assert common.worker_state("a", lambda: [2]) is first
+    assert common.worker_state("b", lambda: [3]) == [3] and list(common._kept) == ["b"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(st.sampled_from("aeinstrlE0159.,!?%éüß漢字仮名、。「」ไทย한국어𝒳́'’İΣ_~<|>/") | st.characters(codec="utf-8", exclude_categories=["Z", "Cc"]), max_size=80), most=st.integers(1, 9))
+def test_parts_without_spaces_are_safe(library, text, most):
+    word_library = tokenizers.Tokenizer.from_file(WORD)
+    parts = safe_parts(text, most)
+    assert "".join(parts) == text
+    for tokenizer in (library, word_library):
+        assert [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_without_spaces(library, codec, monkeypatch):
+    """One run of letters, and marks between clauses: every way gives the library's ids."""
+    rng = random.Random(8)
+    run = "".join(rng.choice("漢字仮名語") for _ in range(3000))
+    clauses = "".join(rng.choice("漢字仮名語") + rng.choice(["", "", "", "。", "、", "3"]) for _ in range(6000))
+    latin = "".join(rng.choice("etaoin") for _ in range(3000))
+    monkeypatch.setattr(units_, "LONG_UNIT", 50)
+    monkeypatch.setattr(units_, "LONG_PIECE", 200)
+    monkeypatch.setattr(common, "_kept", {})
+    with open(BYTE) as f:
+        _, counts = token_counts._counter("long", f.read())
+    with open(WORD) as f:
+        code, encode, words = token_files._word_encoder("long", f.read())
+    for text in (run, clauses, latin, clauses + "<|endoftext|>" + run + " " + latin):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert counts.each([text]) == [len(want)] and codec.encode(text) == want
+        assert words.each([text]) == [array(code, encode([text])[0]).tobytes()]
+
+
+def test_a_long_piece_takes_little_memory(codec):
+    import tracemalloc
+
+    text = "".join(random.Random(9).choices("etaoinshr", k=2_000_000))
+    codec.piece(text[:200_000])  # pairs are known
+    tracemalloc.start()
+    ids = codec.piece(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codec.decode(ids) == text and peak < 15 * len(text)
+
+
+def test_other_files_are_refused(codec):
+    import json
 
-    monkeypatch.setattr(units, "MEMO_UNITS", 5)
     with open(BYTE) as f:
-        encode, held = token_counts._counter("tiny", f.read())
-    small = units.ByteUnits(encode, held.special)
-    for _, text, *_ in rows:
-        first, *rest = byte_units(text or "")
-        heads, memo = small.learn({first}, set(rest), sum)
-        assert heads[first] + sum(memo[u] for u in rest) == encode([text or ""])[0]
+        config = json.load(f)
+    assert bpe.unsupported(config) == []
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": config["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": config["model"] | {"ignore_merges": True}}, {"added_tokens": [config["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(config | change)
+    with open(WORD) as f, pytest.raises(ValueError):
+        bpe.Codec(json.load(f))
 
 
 def test_round_trip(docs, rows, library):
@@ -121,6 +198,29 @@ def test_token_files(spark, docs, rows):
     assert sum(len(r.ids) for r in records) == start and all(r.ids[-1] == 1 for r in records)
     order = [(r.shard, r.offset) for r in token_files.shuffled_reads(spark, files, 1).collect()]
     assert len(set(order)) == len(rows) and order != sorted(order)
+    at = {(r.shard, r.offset): (r.doc_id, r.ids) for r in records}
+    sought = token_files.read_at(files, token_files.shuffled_reads(spark, files, 1)).collect()
+    assert [(r.shard, r.offset) for r in sought] == order and all(at[r.shard, r.offset] == (r.doc_id, r.ids) for r in sought)
+    row = token_files.read_index(spark, files).filter("doc_id = 8").first()
+    reader = token_files.ShardReader(files)
+    assert reader.read(row.file, row.offset, row.frame_bytes)[1].tolist() == at[row.shard, row.offset][1]
+    with pytest.raises(token_files.CorruptRecord):
+        reader.read(row.file, row.offset + 1, row.frame_bytes)
+
+
+def test_shards_are_bounded_in_bytes(spark):
+    """A few long texts among many short ones: ranges of rows are uneven, shards are not."""
+    rng = random.Random(11)
+    long = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(2000)) for _ in range(60)]
+    rows = [(i, long[i - 200] if 200 <= i < 260 else "short") for i in range(2000)]
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), WORD, shard_bytes=40_000)
+    index = token_files.read_index(spark, files)
+    sizes = [r.n for r in index.groupBy("shard").agg({"frame_bytes": "sum"}).toDF("shard", "n").collect()]
+    assert max(sizes) <= 40_000 and len(sizes) > 5
+    got = [r.doc_id for r in index.orderBy("shard", "offset").collect()]
+    assert got == list(range(2000))
+    starts = index.orderBy("start").collect()
+    assert [r.doc_id for r in starts] == got and all(b.start == a.start + a.n_tokens for a, b in zip(starts, starts[1:]))
 
 
 def test_corrupt_records_are_found():
