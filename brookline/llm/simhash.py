@@ -9,7 +9,9 @@ all are over the radius, in different groups or already linked are abandoned. A
 components, never all its pairs; components of the links are then found over the cluster.
 
 Scale: texts are read once and never shuffled; what moves is 16 rows of 16 bytes per distinct fingerprint, so copies
-cost nothing. A key group above GROUP is dealt out as pairs of tiles, so no task gets more than two tiles of it.
+cost nothing. A key group above GROUP is split by what its key leaves out: of four 9-bit parts of the other 36 bits, a
+pair within three bits shares one, so four rows each go to groups that are some 500 times smaller. What is still above
+GROUP after that is dealt out as pairs of tiles, so no task gets more than two tiles of it.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; fewer words than a
 shingle make one shingle; null doc_id takes part but is never a component's id unless all of its ids are null;
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, rows_of, sliced, staged, whole
+from .common import partitions, portions, rows_of, sliced, staged, whole, worker_state
 from .components import connected_components
 
 WORDS = 3
@@ -75,6 +77,8 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
 
 def _fingerprints(size: int, digest: bool):
     def run(batches):
+        worker_state("simhash", lambda: True)
+
         def rows():
             for ids, texts in portions(batches):
                 for doc_id, text in zip(ids, texts):
@@ -93,18 +97,31 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(_fingerprints(words, digest), "doc_id bigint, fp bigint" + ", sha binary" * digest)
 
 
-def _keys(fp: Column) -> Column:
-    """The sixteen keys, each with its table's number in front."""
-    keys = []
+def _without(value: Column, at: int, width: int, whole_width: int) -> Column:
+    """The bits of value but for width of them from at on."""
+    low = value.bitwiseAND(F.lit((1 << at) - 1))
+    return low if at + width >= whole_width else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, at + width), at))
+
+
+def _tables(fp: Column) -> list[tuple[Column, Column]]:
+    """Of each of the sixteen tables its key, with the table's number in front, and the other 36 bits."""
+    found = []
     for i in range(4):
-        block = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-        rest = fp.bitwiseAND(F.lit((1 << 16 * i) - 1))
-        if i < 3:
-            rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 16 * i + 16), 16 * i))
+        block, rest = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)), _without(fp, 16 * i, 16, 64)
         for j in range(4):
             part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.shiftleft(block, 12).bitwiseOR(part).bitwiseOR(F.lit((4 * i + j) << 28)))
-    return F.array(*keys)
+            found.append((F.shiftleft(block, 12).bitwiseOR(part).bitwiseOR(F.lit((4 * i + j) << 28)), _without(rest, 12 * j, 12, 48)))
+    return found
+
+
+def _keys(fp: Column) -> Column:
+    return F.array(*[key for key, _ in _tables(fp)])
+
+
+def _parts(fp: Column, key: Column) -> Column:
+    """The four 9-bit parts of what a key leaves out, each with its number in front."""
+    other = F.get(F.array(*[rest for _, rest in _tables(fp)]), F.shiftright(key, 28).cast("int"))
+    return F.transform(F.array(other), lambda x: F.array(*[F.shiftrightunsigned(x, 9 * p).bitwiseAND(F.lit(511)).bitwiseOR(F.lit(p << 9)) for p in range(4)]))[0]
 
 
 def _pack(bits: np.ndarray, n_words: int) -> np.ndarray:
@@ -187,20 +204,20 @@ def links_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS):
 
 
 def _compare(radius: int):
-    """Rows (key, tile, fp), sorted, to links; a chunk ends where a group does."""
+    """Rows (key, part, tile, fp), sorted, to links; a chunk ends where a group does."""
 
-    def links(keys, tiles, prints):
-        groups = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
+    def links(*columns):
+        *names, prints = columns
+        groups = np.cumsum(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in names])])
         return links_within(groups, prints, radius)
 
     def run(batches):
         def rows():
-            held = [np.zeros(0, np.int64)] * 3
+            held = [np.zeros(0, np.int64)] * 4
             for batch in batches:
                 held = [np.r_[h, c.to_numpy(zero_copy_only=False)] for h, c in zip(held, batch.columns)]
-                keys, tiles, _ = held
-                if len(keys) >= 65536:
-                    same = (keys == keys[-1]) & (tiles == tiles[-1])
+                if len(held[0]) >= 65536:
+                    same = np.logical_and.reduce([c == c[-1] for c in held[:-1]])
                     end = int(np.argmax(same))
                     if end:
                         yield from links(*(h[:end] for h in held))
@@ -216,16 +233,19 @@ def _compare(radius: int):
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """a, b: links between the distinct fingerprints (column fp) that span their components."""
     n = partitions(prints.sparkSession)
+    none = F.lit(-1).cast("bigint")
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    hot = staged(keyed.groupBy("key").count().filter(F.col("count") > group).select("key", F.ceil(F.col("count") / (group // 2)).cast("int").alias("tiles")), "hot")
+    hot = staged(keyed.groupBy("key").count().filter(F.col("count") > group).select("key", F.lit(True).alias("hot")), "hot")
     if hot.isEmpty():
-        dealt = keyed.withColumn("tile", F.lit(0).cast("bigint"))
+        dealt = keyed.withColumns({"part": none, "tile": none})
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("bigint")
-        pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("tiles").cast("bigint") - 1), lambda p: F.least(p, own) * (1 << 30) + F.greatest(p, own))
-        joined = keyed.join(hot, "key", "left")
-        dealt = joined.select("fp", "key", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(pair)).alias("tile"))
-    sorted_ = dealt.select("key", "tile", "fp").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "fp")
+        split = keyed.join(hot, "key", "left").select("fp", "key", F.explode(F.when(F.col("hot").isNull(), F.array(none)).otherwise(_parts(F.col("fp"), F.col("key")))).alias("part"))
+        counts = split.filter("part >= 0").groupBy("key", "part").count().filter(F.col("count") > group)
+        large = staged(counts.select("key", "part", F.ceil(F.col("count") / (group // 2)).cast("bigint").alias("tiles")), "large")
+        own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
+        pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1), lambda p: F.least(p, own) * (1 << 30) + F.greatest(p, own))
+        dealt = split.join(large, ["key", "part"], "left").select("fp", "key", "part", F.explode(F.when(F.col("tiles").isNull(), F.array(none)).otherwise(pair)).alias("tile"))
+    sorted_ = dealt.select("key", "part", "tile", "fp").repartition(n, "key", "part", "tile").sortWithinPartitions("key", "part", "tile", "fp")
     return sorted_.mapInArrow(_compare(radius), "a bigint, b bigint")
 
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from brookline.llm import simhash
 from brookline.llm.components import connected_components
@@ -70,6 +71,35 @@ def test_links_against_all_pairs(spark, group):
     assert len(pairs) == len(set(want)) == len(set(got))
 
 
+def test_a_hot_key_is_split_by_the_bits_it_leaves_out(spark):
+    """2,000 fingerprints that share two blocks: every near pair is still found, and rows grow by four, not by tiles."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(32) << 32 | 0x12345678 for _ in range(2000)]
+    near = [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base[:200]]
+    prints = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
+    frame = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    links = simhash.fingerprint_links(frame, group=100).collect()
+    assert all(0 < ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3 for r in links)
+    at = {p: i for i, p in enumerate(prints)}
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        root[find(at[r.a])] = find(at[r.b])
+    want, got = components(prints), [find(i) for i in range(len(prints))]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    parts = frame.select(simhash._parts(F.col("fp"), F.get(simhash._keys(F.col("fp")), 5)).alias("p"), "fp").limit(50).collect()
+    for r in parts:
+        fp = r.fp & (2**64 - 1)
+        bits = [fp >> k & 1 for k in range(64) if not 16 <= k < 32]  # table 5: block 1, then part 1 of the rest
+        bits = [b for k, b in enumerate(bits) if not 12 <= k < 24]
+        assert [x & 511 for x in r.p] == [sum(b << k for k, b in enumerate(bits[9 * i : 9 * i + 9])) for i in range(4)] and [x >> 9 for x in r.p] == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_radius(radius):
     base = 0x0123456789ABCDEF
