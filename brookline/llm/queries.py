@@ -32,7 +32,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     path = tokenizer_file("byte_bpe_50k.json")
-    return chat.read_digests(chat.format_conversations(turns, path), path).drop("n_tokens")
+    return chat.read_digests(chat.format_conversations(turns, path), path, arranged=True).drop("n_tokens")
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

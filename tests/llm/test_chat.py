@@ -38,11 +38,35 @@ def expected():
     return sorted(out, key=repr)
 
 
-def test_digests_read_back(turns):
-    got = chat.read_digests(chat.format_conversations(turns, PATH), PATH).drop("n_tokens").collect()
+@pytest.mark.parametrize("arranged", [True, False])
+def test_digests_read_back(turns, arranged):
+    formatted = chat.format_conversations(turns, PATH)
+    got = chat.read_digests(formatted if arranged else formatted.orderBy("part", F.desc("conv_id")), PATH, arranged).drop("n_tokens").collect()
     assert sorted(map(tuple, got), key=repr) == expected()
 
 
+def test_texts_shuffle_once(turns):
+    plan = chat.read_digests(chat.format_conversations(turns.coalesce(1), PATH), PATH, arranged=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1
+
+
+def test_ids_are_the_library_s_and_masks_are_read(turns):
+    """The encoder is the library's; a mask that leaves out part of a text gives the rest of the text."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    with open(PATH) as f:
+        template = chat.Template(f.read())
+    for text in [r[3] or "" for r in ROWS]:
+        assert template.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, mask = template.assemble(*template.encode(["assistant", "one two three"]), True)
+    mask[np.flatnonzero(mask)[0]] = 0
+    spark = turns.sparkSession
+    cut = spark.createDataFrame([(1, 0, ids.tolist(), mask.tolist())], "conv_id bigint, part bigint, ids array<int>, loss_mask array<tinyint>")
+    assert chat.read_digests(cut, PATH).first().loss_sha256 == hashlib.sha256(b" two three").hexdigest()
+
+
 def test_turns_and_masks(turns):
     formatted = chat.format_conversations(turns, PATH)
     back = defaultdict(list)
@@ -51,7 +75,7 @@ def test_turns_and_masks(turns):
     assert [x[1:] for x in sorted(back[1])] == [("system", "be [/INST] kind"), ("user", "hello"), ("assistant", "hi there\nyou \\ </s>")]
     with open(PATH) as f:
         template = chat.Template(f.read())
-    low = template.tokenizer.get_vocab_size()
+    low = template.reserved[chat.BEGIN]
     start = defaultdict(int)
     for r in sorted(formatted.collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.part)):
         ids, mask = np.array(r.ids), np.array(r.loss_mask)
