@@ -1,26 +1,32 @@
 """Document fingerprints from closed syncmers, with built-in functions only.
 
-A text is cut into units: up to four letters or digits with the space before them, or one other character. A k-mer of
-units is chosen where the least hash among its inner s-mers is at its first or last place. Whether it is chosen
-depends on nothing outside it, so equal passages have equal anchors wherever they stand, and an edit moves only the
-anchors of the k-mers that it touches. The fingerprint is the sequence of the anchors' 24-bit hashes as six hex
-digits each; likeness is the Dice share of common anchors.
-
-Each text is compared to the next one by ascending id. Rows are dealt into ranges of ids at quantiles, and the row at
-which a range begins also goes to the range before it, so the next row is always at hand within a range.
-
-Scale: one shuffle of the texts; a range holds a like share of rows (at most MOST_RANGES ranges), and is sorted with
-spilling. The driver gets the quantiles.
+A text is a sequence of units: a word of up to WORD letters or digits with the space before it, or one character. Each
+letter of a longer run is a unit, and so is each of a script that is written without spaces, so no unit is counted off
+from a place far away: what a character is part of is settled within WORD characters of it. A k-mer of units is chosen
+where the least hash among its inner s-mers is at its first or last place. Whether it is chosen depends on nothing
+outside it, so equal passages have equal anchors wherever they stand, and an edit moves only the anchors of the k-mers
+that it touches. The fingerprint is the sequence of the anchors' 24-bit hashes as six hex digits each; likeness is the
+Dice share of common anchors.
+
+Each text is compared to the next one by ascending id. Rows are dealt into ranges by id and a hash of the text, at
+bounds drawn from a sample, and the row at which a range begins also goes to the range before it, so the next row is
+always at hand within a range. Rows that repeat both id and text in such numbers that several bounds fall on them are
+dealt out over ranges of their own, where each is its own next.
+
+Scale: one shuffle of the texts; a range holds a like share of rows, and is sorted with spilling. The driver gets a
+sample of ids and hashes, SAMPLE_A_RANGE for each of at most MOST_RANGES ranges.
 
 Defined results: null text counts as empty; the empty text has an empty fingerprint, like itself (1) and unlike any
 other (0); every other text has an anchor. K-mers are sure to have one chosen among them from 2K - S - 1 units on;
 texts of fewer units have all their S-mers as anchors and then their chosen k-mers, if any, so a copy on either side of
-that bound shares some with most; those of fewer than S units have the text itself as anchor; null ids come first; rows of equal id follow each other by text; after the last row comes the first; an empty table
-gives an empty result; other columns are ignored.
+that bound shares some with most; those of fewer than S units have the text itself as anchor; null ids come first; rows
+of equal id follow each other by a hash of their texts; after the last row comes the first; texts of any length are
+read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import partitions, whole
 
 K, S = 8, 2
-UNIT = r" ?[\p{L}\p{N}]{1,4}|[^\p{L}\p{N}]"
-ROWS_A_RANGE = 256
-MOST_RANGES = 4096
+#: Letters of the longest word that is one unit.
+WORD = 16
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_LETTER = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]"
+UNIT = rf"(?s) ?(?<!{_LETTER}){_LETTER}{{1,{WORD}}}+(?!{_LETTER})|."
+ROWS_A_RANGE, SAMPLE_A_RANGE, MOST_RANGES = 256, 8, 1 << 16
 _SIDE = 64
-_LOW = -(1 << 63)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,21 +94,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), as_text(anchors(whole(text_col))).alias("fingerprint"))
 
 
+def _place(ident: Column, text: Column) -> Column:
+    """A string whose order is that of the rows: null ids first, then by id, then by a hash of the text."""
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # noqa: E731  signed order as that of the digits
+    return F.concat(F.when(ident.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(digits(ident), F.lit("0" * 16)), digits(F.xxhash64(text)))
+
+
+def _listed(values, kind: str) -> Column:
+    """A constant array, whatever its size one literal of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _reached(at: Column, bounds: list[str]) -> Column:
+    """How many of the ascending bounds are not above at: _SIDE of them are looked at on each of the levels."""
+    levels = [bounds]
+    while len(levels[-1]) > _SIDE:
+        levels.append(levels[-1][::_SIDE])
+    def count(held: Column) -> Column:
+        return F.size(F.filter(held, lambda b: b <= at))
+
+    def finer(held: Column, found: Column) -> Column:
+        return let(F.greatest(found - 1, F.lit(0)) * _SIDE, lambda first: first + count(F.slice(held, first + 1, _SIDE)))
+
+    found = count(_listed(levels.pop(), "string"))
+    while levels:
+        found = finer(_listed(levels.pop(), "string"), found)
+    return found
+
+
 def _in_ranges(rows: DataFrame, at: str) -> DataFrame:
-    """rows with range and copy: copy 0 is the row, others are copies for the row before it."""
+    """rows with range and copy: copy 0 is the row, others are copies for the row before it. same: all rows of the range are alike."""
     n, low = rows.agg(F.count("*"), F.min(at)).first()
     wanted = min(MOST_RANGES, max(1, n // ROWS_A_RANGE))
-    found = rows.agg(F.percentile_approx(at, F.array(*[F.lit(i / wanted) for i in range(1, wanted)]), 20 * wanted)).first()[0] if wanted > 1 else []
-    bounds = [_LOW, *sorted({b for b in found if b > low})]
-    groups = [bounds[i : i + _SIDE] for i in range(0, len(bounds), _SIDE)]
-    longs = lambda x: F.array(*[F.lit(b).cast("bigint") for b in x])
-    reached = lambda x: F.size(F.filter(x, lambda b: b <= F.col(at)))
-    rows = rows.withColumn("group", reached(longs([g[0] for g in groups])))
-    rows = rows.withColumn("range", (F.col("group") - 1) * _SIDE + reached(F.element_at(F.array(*map(longs, groups)), F.col("group"))))
-    starts = F.exists(F.element_at(F.array(*map(longs, groups)), F.col("group")), lambda b: b == F.col(at)) & (F.col("range") > 1)
-    place = lambda where, copy: F.struct(where.cast("int").alias("range"), F.lit(copy).alias("copy"))
-    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(starts, place(F.col("range") - 1, 1)), F.when(F.col(at) == F.lit(low if n else 0), place(F.lit(len(bounds)), 2))))
-    return rows.withColumn("place", F.explode(places)).drop("group", "range").select("*", "place.range", "place.copy").drop("place")
+    share = min(1.0, SAMPLE_A_RANGE * wanted / max(1, n))
+    sample = sorted(r[0] for r in rows.select(at).sample(share, 17).collect()) if wanted > 1 else []
+    drawn = Counter(b for b in sample[SAMPLE_A_RANGE - 1 :: SAMPLE_A_RANGE] if b != low)
+    bounds = [low or "", *sorted(drawn)]
+    times = [1, *(drawn[b] for b in bounds[1:])]  # over one: so many ranges for the rows at this bound alone
+    if low is not None:
+        times[0] = max(1, sum(b == low for b in sample) // SAMPLE_A_RANGE)
+    spare, more = [], len(bounds)
+    for t in times:
+        spare.append(more)
+        more += t - 1
+    rows = rows.withColumn("own_range", _reached(F.col(at), bounds) - 1)
+    of = lambda values, kind: F.get(_listed(values, kind), F.col("own_range"))
+    starts = of(bounds, "string") == F.col(at)
+    # without hot rows there is nothing to draw
+    hot = F.when(starts, F.floor(F.rand(17) * of(times, "int"))).otherwise(0).cast("int") if any(t > 1 for t in times) else F.lit(0)
+    rows = rows.withColumn("spare", hot)
+    place = lambda where, copy, same: F.struct(where.cast("int").alias("range"), F.lit(copy).alias("copy"), same.alias("same"))
+    normal, no = F.col("spare") == 0, F.lit(False)
+    places = F.array_compact(F.array(
+        F.when(normal, place(F.col("own_range"), 0, no)).otherwise(place(of(spare, "int") + F.col("spare") - 1, 0, F.lit(True))),
+        F.when(normal & starts & (F.col("own_range") > 0), place(F.col("own_range") - 1, 1, no)),
+        F.when(normal & (F.col(at) == F.lit(low or "")), place(F.lit(len(bounds) - 1), 2, no)),
+    ))
+    return rows.withColumn("place", F.explode(places)).drop("own_range", "spare").select("*", "place.range", "place.copy", "place.same").drop("place")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,10 +160,11 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the next text.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
-    source = source.withColumn("at", F.coalesce("doc_id", F.lit(_LOW)))
+    source = source.withColumn("at", _place(F.col("doc_id"), F.col("text")))
     dealt = _in_ranges(source, "at").repartition(partitions(docs.sparkSession), "range").withColumn("own", anchors(F.col("text")))
     order = W.partitionBy("range").orderBy("copy", "at", "text")
-    pairs = dealt.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)}).filter("copy = 0")
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.when(F.col("same"), F.col(c)))
+    pairs = dealt.withColumns({"next_text": after("text"), "next_own": after("own")}).filter("copy = 0")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
