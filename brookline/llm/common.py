@@ -5,14 +5,12 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import discard, fresh_path, settled, shared_dir, staged
@@ -70,30 +68,28 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def least_hashes(rows: DataFrame, by: str, ident: str, most: dict | int) -> DataFrame:
     """Of the distinct (by, ident) of rows: for each value of by (or of those in most), the most[value] (or most) of the least hash of ident.
 
-    What is over a share of the hash's range that leaves somewhat more than enough goes before anything is shuffled, so
-    that what a task ranks does not grow with rows or tasks. Where a share leaves too few (repeated idents), a larger
-    one is taken, up to all.
+    What is over a share of the hash's range that leaves somewhat more than enough goes where it is read, so what
+    reaches the driver is a few times most, whatever the number of rows and tasks. Where a share leaves too few
+    (repeated idents), a larger one is taken, up to all.
     """
-    own = rows.select(F.col(by).alias("__by"), F.col(ident).alias("__ident")).withColumn("__hash", F.xxhash64("__ident"))
-    counts = dict(own.groupBy("__by").count().collect())  # a row for each value
+    own = rows.select(F.col(by).alias(by), F.col(ident).alias(ident)).withColumn("__hash", F.xxhash64(ident))
+    counts = dict(own.groupBy(by).count().collect())  # a row for each value
     if isinstance(most, int):
         most = dict.fromkeys(counts, most)
-    counts = {k: n for k, n in counts.items() if k in most}
-    share = {k: min(1.0, (1.2 * most[k] + 200) / n) for k, n in counts.items()}
-    first = W.partitionBy("__by").orderBy("__hash", "__ident")
-    while True:
+    share = {k: min(1.0, (1.2 * most[k] + 200) / n) for k, n in counts.items() if k in most}
+    found: dict = {}
+    wanted = list(share)
+    while wanted:
         under = F.lit(False)
-        for k, x in share.items():
-            under = under | ((F.col("__by") == k) & (F.col("__hash") <= (1 << 63) - 1 if x >= 1 else (F.col("__hash") < int((2 * x - 1) * (1 << 63)))))
-        ranked = own.filter(under).groupBy("__by", "__ident", "__hash").agg(F.lit(1).alias("__one")).withColumn("__n", F.row_number().over(first))
-        limit = reduce(lambda c, k: F.when(F.col("__by") == k, most[k]).otherwise(c), counts, F.lit(0))
-        found = staged(ranked.filter(F.col("__n") <= limit).select(F.col("__by").alias(by), F.col("__ident").alias(ident)), "sample")
-        got = {k: n for k, n in found.groupBy(by).count().collect()}
-        few = [k for k in share if share[k] < 1 and got.get(k, 0) < most[k]]
-        if not few:
-            return found
-        discard(found)
-        share |= {k: min(1.0, 8 * share[k]) for k in few}
+        for k in wanted:
+            under = under | ((F.col(by) == k) & (F.lit(True) if share[k] >= 1 else F.col("__hash") < int((2 * share[k] - 1) * (1 << 63))))
+        found |= {k: [] for k in wanted}
+        for k, x, h in own.filter(under).distinct().collect():
+            found[k].append((h, x))
+        wanted = [k for k in wanted if share[k] < 1 and len(found[k]) < most[k]]
+        share |= {k: min(1.0, 8 * share[k]) for k in wanted}
+    chosen = [(k, x) for k, held in found.items() for _, x in sorted(held)[: most[k]]]
+    return rows.sparkSession.createDataFrame(chosen, own.drop("__hash").schema)
 
 
 def vocabulary_text(spark: SparkSession, path: str):
@@ -137,7 +133,7 @@ class Memo(dict):
         super().__init__()
         self.most, self.held, self.before, self.long = most_bytes // 2, 0, {}, []
 
-    def missing(self, keys: Iterable) -> list:
+    def missing(self, keys: set) -> list:
         """The keys whose values add() is to be given; all others are there until the next call."""
         for k in self.long:
             self.pop(k, None)
@@ -145,16 +141,12 @@ class Memo(dict):
         if self.held > self.most:
             self.before, self.held = dict(self), 0
             self.clear()
-        before, new, back = self.before, [], []
-        for k in keys:
-            if k not in self:
-                value = before.get(k)
-                if value is None:
-                    new.append(k)
-                else:
-                    self[k] = value
-                    back.append(k)
-        self._weigh(back, 0)
+        new, before = [k for k in keys if k not in self], self.before
+        back = [k for k in new if k in before]
+        if back:
+            self.update(zip(back, map(before.__getitem__, back)))
+            self._weigh(back, 0)
+            new = [k for k in new if k not in before]
         return new
 
     def add(self, keys: list, values: Iterable, value_bytes: int = 0) -> None:
@@ -164,5 +156,5 @@ class Memo(dict):
         self.long += long
         self._weigh(keys if not long else [k for k in keys if len(k) <= LONG_KEY], 0 if long else value_bytes)
 
-    def _weigh(self, keys: list, value_bytes: int) -> None:
+    def _weigh(self, keys, value_bytes: int) -> None:
         self.held += ENTRY_BYTES * len(keys) + 2 * sum(map(len, keys)) + value_bytes

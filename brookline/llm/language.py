@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, least_hashes, portions, sliced, worker_state
+from .common import least_hashes, portions, sliced, worker_state
 
 PLACES = 1 << 15
 PER_LANGUAGE = 600
@@ -177,10 +177,9 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = FOLD) -> Co
 
 def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Machines:
     known = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).filter(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & F.col("__id").isNotNull() & ~held_out("__id"))
-    sample = least_hashes(known, "__lang", "__id", per_language)
+    sample = least_hashes(known, "__lang", "__id", per_language)  # per_language ids of each language
     texts = known.join(F.broadcast(sample), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
     table = texts.select("__lang", "__text").mapInArrow(_featured, "lang string, places array<int>, counts array<float>").toArrow()
-    discard(sample)  # per_language ids of each language
     langs, rows = [], []
     for batch in table.to_batches():
         langs += batch.column(0).to_pylist()

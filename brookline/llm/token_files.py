@@ -138,7 +138,7 @@ def _frames(key: str, held, end_id: int, chunk_bytes: int):
         end = array(code, [end_id]).tobytes()
 
         def frames():
-            for ids, texts in portions(batches):
+            for ids, texts in portions(batches, 1 << 20):
                 packed = units.each(texts) if units else (array(code, encode([t])[0]).tobytes() for t in texts)
                 for doc_id, p in zip(ids, packed):
                     yield frame(doc_id, array(code, p + end))
@@ -155,7 +155,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     out = TokenFiles(f"{path}/shards", f"{path}/index")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(spark), -(-size // shard_bytes))
+    n = max(min(partitions(spark), 2 * spark.sparkContext.defaultParallelism), -(-size // shard_bytes))  # a file each, at least: few where texts are few
     held = vocabulary_text(spark, tokenizer_path)
     tied = F.xxhash64("text")  # splits a repeated id over ranges, whose bounds hold no texts
     ordered = source.repartitionByRange(n, F.col("doc_id"), tied).sortWithinPartitions(F.col("doc_id"), tied, F.col("text"))

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, least_hashes, portions, sliced, whole, worker_state
+from .common import Memo, least_hashes, portions, sliced, whole, worker_state
 
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
 FACTORS = 8
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 64 << 20
 #: Least G statistic of a term.
 LEAST_G = 12.0
 EPOCHS = 30
@@ -147,7 +147,6 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), whole(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # bounded by the two limits
     rows = texts.groupBy("__id", "__toxic").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
     table = rows.select("__toxic", "__text").mapInArrow(_featured, "toxic int, terms array<int>").toArrow().combine_chunks()
-    discard(sample)
     terms = table.column("terms").combine_chunks()
     if isinstance(terms, pa.ChunkedArray):
         terms = terms.chunk(0) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -164,7 +163,7 @@ def _scored(key: str, held):
         memo, row_of = worker_state(("toxicity", key), lambda: (Memo(MEMO_BYTES), {int(t): i for i, t in enumerate(machine.terms)}))
 
         def rows():
-            for ids, texts in portions(batches):
+            for ids, texts in portions(batches, 1 << 20):
                 for doc_id, text in zip(ids, texts):
                     words = words_of(text)
                     new = memo.missing(words)

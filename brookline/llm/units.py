@@ -21,7 +21,7 @@ import regex
 from .common import Memo
 
 #: Bytes of the memos: of units and pieces of byte-level BPE each, and of words.
-MEMO_UNITS, MEMO_WORDS = 96 << 20, 160 << 20
+MEMO_UNITS, MEMO_WORDS = 64 << 20, 128 << 20
 #: A batch of new units ends at so many bytes.
 BATCH_BYTES = 1 << 20
 #: Characters of a text that are cut into units at a time.
