@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import types as types_
 from .errors import SchemaError
-from .schema import DESC, GROUPED, UNORDERED, FlowColumn, FlowKey, FlowSchema
+from .schema import ASC, DESC, GROUPED, UNORDERED, FlowColumn, FlowKey, FlowSchema
 
 POS = "__pos"
 
@@ -112,6 +112,13 @@ class Flow:
         flow = self.keep_order()
         return flow, [name_col(POS)]
 
+    def order_terms(self) -> list[tuple[str, str]]:
+        """(direction, column) of the order that in_order gives."""
+        own = [(d, n) for d, n in self.schema.key.orderings]
+        if not own or any(d in (GROUPED, UNORDERED) for d, _ in own):
+            return [(ASC, POS)]
+        return own + ([] if self.schema.key.unique or not self.has_pos else [(ASC, POS)])
+
     # building
 
     def select(self, columns: Iterable[tuple[Column, FlowColumn]], key: FlowKey | None = None) -> Flow:

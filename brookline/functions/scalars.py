@@ -17,7 +17,7 @@ from ..schema import FlowColumn
 
 def _arithmetic(op: Callable[[Column, Column], Column], a: Column, b: Column, left: FlowColumn, right: FlowColumn) -> Column:
     x, y = types_.logical(left.type), types_.logical(right.type)
-    if x != y or x not in (types_.INT, types_.UNSIGNED, types_.FLOAT):
+    if x != y or x not in (types_.INT, types_.UNSIGNED, types_.DECIMAL, types_.FLOAT):
         raise SchemaError(f"no arithmetic of {x} and {y}")
     out = op(a, b)
     return out.cast(T.DecimalType(20, 0)) if x == types_.UNSIGNED else out

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import types as types_
 from ..errors import OrderingError
 from ..flow import POS, Flow, name_col
 from ..functions import scalars
@@ -41,25 +40,35 @@ def parts(df: DataFrame) -> Column:
     return F.shiftright(name_col(POS), PART_BITS)
 
 
-def indexed(flow: Flow) -> DataFrame:
-    """The flow's rows with __idx, their place in arrival order from 0.
+def numbered(flow: Flow) -> Flow:
+    """The flow with arrival numbers that say its order and stay the same over several jobs.
 
-    Rows of a scan are numbered within the partition that they come from, after the rows of those before it. Where a
-    key gives the order, rows are range-sorted first and staged, so both passes see the same partitions.
+    Rows of a scan keep the numbers that they got when read. Where a key gives the order, or rows without numbers come
+    out of a shuffle, the rows are sorted and staged.
     """
-    flow, order = flow.in_order()
-    df = flow.df
-    if flow.schema.key.orderings and len(order) and not (len(order) == 1 and flow.has_pos and not flow.schema.key.orderings):
-        if order[0]._jc.toString() != name_col(POS)._jc.toString():
-            df = staged(df.drop(POS).orderBy(*order).withColumn(POS, F.monotonically_increasing_id()), "ordered")
+    if any(d in (ASC, DESC) for d, _ in flow.schema.key.orderings) and all(d in (ASC, DESC) for d, _ in flow.schema.key.orderings):
+        flow, order = flow.in_order()
+        df = flow.df.orderBy(*order)
+    elif flow.has_pos:
+        return flow
+    else:
+        df = flow.df
+        if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+            return flow.keep_order()
+    return flow.with_df(staged(df.drop(POS).withColumn(POS, F.monotonically_increasing_id()), "ordered"))
+
+
+def indexed(flow: Flow) -> DataFrame:
+    """The flow's rows with __idx, their place in arrival order from 0: rows are numbered within the partition that they come from, after those before it."""
+    df = numbered(flow).df
     before, total = [], 0
     for part, n in sorted(tuple(r) for r in df.groupBy(parts(df).alias("p")).count().collect()):  # a row for each partition
         before.append((part, total))
         total += n
     base = F.broadcast(df.sparkSession.createDataFrame(before, "__part bigint, __before bigint"))
     within = F.row_number().over(W.partitionBy("__part").orderBy(POS))
-    numbered = df.withColumn("__part", parts(df)).join(base, "__part").withColumn("__idx", within - 1 + name_col("__before"))
-    return numbered.drop("__part", "__before")
+    placed = df.withColumn("__part", parts(df)).join(base, "__part").withColumn("__idx", within - 1 + name_col("__before"))
+    return placed.drop("__part", "__before")
 
 
 def _violates(key: FlowKey, flow: Flow, before: Callable[[str], Column], now: Callable[[str], Column]) -> Column:
@@ -109,6 +118,3 @@ def _breaks(key: FlowKey, a, b) -> bool:
         return (a[name] > b[name]) == (direction == ASC)
     return key.unique and bool(key.orderings) and all(a[n] == b[n] for n in key.names)
 
-
-def numeric(flow: Flow, name: str) -> bool:
-    return types_.logical(flow.schema.column(name).type) in (types_.INT, types_.FLOAT, types_.UNSIGNED)

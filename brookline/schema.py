@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -111,7 +112,7 @@ class FlowColumn:
 
     @property
     def field(self) -> T.StructField:
-        marks = {_DEFAULT: json.dumps(self.default)} | ({_UNSIGNED: True} if isinstance(self.type, T.DecimalType) else {})
+        marks = {_DEFAULT: json.dumps(self.default)} | ({_UNSIGNED: True} if isinstance(self.type, types_.UnsignedType) else {})
         return T.StructField(self.name, self.type, True, marks)
 
     @property
@@ -145,8 +146,9 @@ class FlowSchema:
         made = []
         for f in struct.fields:
             marks = f.metadata or {}
-            default = json.loads(marks[_DEFAULT]) if _DEFAULT in marks else types_.default_of(f.dataType)
-            made.append(FlowColumn(f.name, f.dataType, default))
+            kind = types_.UnsignedType() if marks.get(_UNSIGNED) else f.dataType
+            default = json.loads(marks[_DEFAULT]) if _DEFAULT in marks else types_.default_of(kind)
+            made.append(FlowColumn(f.name, kind, default))
         return cls(tuple(made), key or FlowKey())
 
     @property
@@ -232,7 +234,7 @@ class FlowSchema:
         """Whether a row's values are as many and of such types as the columns."""
         if len(row) != len(self.columns):
             raise SchemaError(f"{len(row)} values for {len(self.columns)} columns")
-        fits = {types_.INT: (int,), types_.UNSIGNED: (int,), types_.FLOAT: (float, int), types_.STRING: (str,), "nested": (list, tuple)}
+        fits = {types_.INT: (int,), types_.UNSIGNED: (int,), types_.DECIMAL: (int, Decimal), types_.FLOAT: (float, int), types_.STRING: (str,), "nested": (list, tuple)}
         for c, v in zip(self.columns, row):
             kind = types_.logical(c.type)
             if not isinstance(v, fits[kind]) or isinstance(v, bool) or kind == types_.UNSIGNED and v < 0:

@@ -55,7 +55,9 @@ def deserialize_schema(data: bytes, form: str = BINARY_FORM) -> FlowSchema:
 def _arrow(kind: T.DataType) -> pa.DataType:
     if types_.is_nested(kind):
         return pa.list_(pa.struct([(f.name, _arrow(f.dataType)) for f in kind.elementType.fields]))
-    return {types_.INT: pa.int64(), types_.UNSIGNED: pa.decimal128(20, 0), types_.FLOAT: pa.float64(), types_.STRING: pa.string()}[types_.logical(kind)]
+    if isinstance(kind, T.DecimalType):
+        return pa.decimal128(kind.precision, kind.scale)
+    return {types_.INT: pa.int64(), types_.FLOAT: pa.float64(), types_.STRING: pa.string()}[types_.logical(kind)]
 
 
 def plain(value: Any) -> Any:

@@ -1,12 +1,12 @@
 """Logical types, their Spark types, defaults, and coercion as column expressions.
 
-INT is 64-bit signed, UNSIGNED is decimal(20, 0) marked in the field's metadata, FLOAT is double, STRING is string, and
-a nested table is an array of structs.
+INT is 64-bit signed, UNSIGNED is decimal(20, 0) with a mark in the field's metadata (UnsignedType here), DECIMAL is any
+other decimal, FLOAT is double, STRING is string, and a nested table is an array of structs.
 """
 
 from __future__ import annotations
 
-import json
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column
@@ -15,9 +15,25 @@ from pyspark.sql import types as T
 
 from .errors import SchemaError
 
-INT, UNSIGNED, FLOAT, STRING = "int", "unsigned", "float", "string"
-SPARK = {INT: T.LongType(), UNSIGNED: T.DecimalType(20, 0), FLOAT: T.DoubleType(), STRING: T.StringType()}
-DEFAULTS: dict[str, Any] = {INT: 0, UNSIGNED: 0, FLOAT: 0.0, STRING: ""}
+INT, UNSIGNED, DECIMAL, FLOAT, STRING = "int", "unsigned", "decimal", "float", "string"
+
+
+class UnsignedType(T.DecimalType):
+    """decimal(20, 0) that holds 64-bit numbers without sign."""
+
+    def __init__(self):
+        super().__init__(20, 0)
+
+    @classmethod
+    def typeName(cls) -> str:  # noqa: N802
+        return "decimal"
+
+    def __repr__(self) -> str:
+        return "UnsignedType()"
+
+
+SPARK = {INT: T.LongType(), UNSIGNED: UnsignedType(), FLOAT: T.DoubleType(), STRING: T.StringType()}
+DEFAULTS: dict[str, Any] = {INT: 0, UNSIGNED: 0, DECIMAL: 0, FLOAT: 0.0, STRING: ""}
 _WRAP = 1 << 64
 
 
@@ -26,7 +42,7 @@ def logical(kind: T.DataType, strict: bool = True) -> str:
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return INT
     if isinstance(kind, T.DecimalType):
-        return UNSIGNED
+        return UNSIGNED if isinstance(kind, UnsignedType) else DECIMAL
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return FLOAT
     if isinstance(kind, T.StringType):
@@ -73,6 +89,8 @@ def coerce(value: Column, source: T.DataType, target: T.DataType) -> Column:
         return F.when(wide < 0, (wide + F.lit(_WRAP)).cast(target)).otherwise(wide.cast(target))
     if a == FLOAT and b in (INT, UNSIGNED):
         return F.rint(value).cast(target)
+    if a == DECIMAL and b in (INT, UNSIGNED):
+        return F.bround(value, 0).cast(target)
     if a == FLOAT and b == STRING:
         # whole numbers print without a fraction
         whole = (value == F.rint(value)) & (F.abs(value) < 1e15)
@@ -110,6 +128,8 @@ def best_fit_type(column: Column) -> Column:
 def parse(text: str, kind: str) -> Any:
     """A text as a Python value of the logical type."""
     try:
+        if kind == DECIMAL:
+            return Decimal(text)
         if kind == INT:
             value = int(text)
             if not -(1 << 63) <= value < 1 << 63:
@@ -124,10 +144,6 @@ def parse(text: str, kind: str) -> Any:
             return float("nan") if text.strip().lower() in ("na", "n\\a", "\\n") else float(text)
         if kind == STRING:
             return text
-    except ValueError as e:
+    except (ValueError, InvalidOperation) as e:
         raise SchemaError(f"invalid format: {text!r} as {kind}") from e
     raise SchemaError(f"a text can't be a {kind}")
-
-
-def dumps_default(value: Any) -> str:
-    return json.dumps(value)
