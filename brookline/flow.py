@@ -25,6 +25,8 @@ from .errors import SchemaError
 from .schema import ASC, DESC, GROUPED, UNORDERED, FlowColumn, FlowKey, FlowSchema
 
 POS = "__pos"
+#: An arrival number has the partition above this bit, as monotonically_increasing_id makes it.
+PART_BITS = 33
 
 
 def name_col(name: str) -> Column:
@@ -174,4 +176,4 @@ class Flow:
         return op(self)
 
 
-__all__ = ["DESC", "POS", "Fields", "Flow", "name_col"]
+__all__ = ["DESC", "PART_BITS", "POS", "Fields", "Flow", "name_col"]

@@ -9,14 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import OrderingError
-from ..flow import POS, Flow, name_col
+from ..flow import PART_BITS, POS, Flow, name_col
 from ..functions import scalars
 from ..schema import ASC, DESC, FlowKey
 from ..staging import staged
 
 Op = Callable[[Flow], Flow]
-#: monotonically_increasing_id has the partition above this bit.
-PART_BITS = 33
 
 
 def sort_by_key(key: FlowKey) -> Op:

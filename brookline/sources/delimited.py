@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import types as types_
 from ..errors import SchemaError
-from ..flow import POS, Flow, name_col
+from ..flow import PART_BITS, POS, Flow, name_col
 from ..functions.scalars import split_delimited
 from ..schema import FlowColumn, FlowSchema
 
+#: Files whose places are sent to every task; of more, the places are joined.
+MOST_BROADCAST_FILES = 100_000
+
 
 def header_names(line: str, separator: str) -> list[str]:
     names = [x.strip() for x in line.split(separator)]
@@ -35,16 +38,43 @@ def _without_heads(batches):
             first = pa.array([(paths[0].as_py(), starts[0].as_py()) == last])
             body = pc.or_(pa.concat_arrays([first, same]), pc.not_equal(starts, 0))
             last = paths[-1].as_py(), starts[-1].as_py()
-            yield batch.select([0, 1]).filter(body)
+            yield batch.filter(body)
+
+
+def _file_starts(spark: SparkSession, path: str, unit: int) -> list[tuple[str, int]]:
+    """Of each file, in the order of paths, the number of its first block of unit bytes; contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    starts, at = [], 0
+    for name, size in sorted(map(tuple, files.collect())):  # a row for each file, as Spark's own listing has
+        starts.append((name, at))
+        at += size // unit + 1
+    return starts
+
+
+def _bytes(spark: SparkSession, name: str, default: int) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, str(default))))
 
 
 def _lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """value and arrival order; header: without the first line of each file of the path."""
+    """value and arrival order: by the files' paths, then by place. header: without the first line of each file.
+
+    Spark deals files out by size, so the partition in an arrival number gives way to the block of the file that the
+    lines come from, counted through the files in order of their paths.
+    """
     lines = spark.read.text(path).withColumn(POS, F.monotonically_increasing_id())
-    if not header:
+    unit = min(_bytes(spark, "spark.sql.files.openCostInBytes", 4 << 20), _bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20))  # no split is shorter but a file's last
+    starts = _file_starts(spark, path, max(1, unit))
+    if not header and len(starts) < 2:
         return lines
     placed = lines.select("value", POS, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"))
-    return placed.mapInArrow(_without_heads, f"value string, {POS} bigint")
+    if header:
+        placed = placed.mapInArrow(_without_heads, f"value string, {POS} bigint, __path string, __start bigint")
+    if len(starts) < 2:
+        return placed.select("value", POS)
+    bases = spark.createDataFrame(starts, "__path string, __first bigint")
+    joined = placed.join(F.broadcast(bases) if len(starts) <= MOST_BROADCAST_FILES else bases, "__path")
+    block = F.col("__first") + F.floor(F.col("__start") / max(1, unit)).cast("bigint")
+    return joined.select("value", F.shiftleft(block, PART_BITS).bitwiseOR(F.col(POS).bitwiseAND(F.lit((1 << PART_BITS) - 1))).alias(POS))
 
 
 def _parts(lines: DataFrame, separator: str, n: int) -> tuple[DataFrame, Column]:
@@ -56,7 +86,8 @@ def parse_lines(lines: DataFrame, separator: str, schema: FlowSchema | None = No
     header = schema is None if header is None else header
     schema = schema or _named(lines, separator)
     if header:
-        lines = lines.filter(F.col(POS) != 0)
+        first = lines.agg(F.min(POS)).first()[0]
+        lines = lines.filter(F.col(POS) != F.lit(first)) if first is not None else lines
     return _parsed(lines, separator, schema)
 
 
@@ -114,10 +145,13 @@ def header_line(schema: FlowSchema, separator: str) -> str:
 
 
 def write_delimited(flow: Flow, path: str, separator: str = ",", compression: str = "none", single: bool = False) -> None:
-    """A folder of part files, each with a header; single: one part, for small results."""
+    """A folder of part files in the flow's order, each with a header; single: one part, for small results."""
+    if flow.has_pos or flow.schema.key.orderings:
+        flow, order = flow.in_order()
+        flow = flow.with_df(flow.df.orderBy(*order) if single else flow.df.repartitionByRange(*order).sortWithinPartitions(*order) if flow.schema.key.orderings else flow.df)
     lines = rendered(flow, separator)
     if single:
-        lines = lines.orderBy(POS).coalesce(1) if flow.has_pos else lines.coalesce(1)
+        lines = lines.coalesce(1)
     head = header_line(flow.schema, separator)
 
     def with_header(batches):
