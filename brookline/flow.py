@@ -12,7 +12,7 @@ right after a read. Operators that depend on arrival order use these, in this or
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -104,7 +104,7 @@ class Flow:
 
     def keep_order(self) -> Flow:
         """Adds the hidden column of arrival order; it means arrival only right after a read."""
-        return self if self.has_pos else replace(self, df=self.df.withColumn(POS, F.monotonically_increasing_id()))
+        return self if self.has_pos else Flow(self.df.withColumn(POS, F.monotonically_increasing_id()), self.schema, self.published)
 
     def in_order(self) -> tuple[Flow, list[Column]]:
         """The flow and the columns that give its arrival order."""
@@ -130,7 +130,7 @@ class Flow:
         return self.with_df(self.df.select(*[e.alias(c.name) for e, c in pairs], *([name_col(POS)] if self.has_pos else [])), schema)
 
     def with_df(self, df: DataFrame, schema: FlowSchema | None = None) -> Flow:
-        return replace(self, df=df, schema=schema or self.schema, published=None)
+        return Flow(df, schema or self.schema)
 
     def as_is(self, names: Iterable[str] | None = None) -> list[tuple[Column, FlowColumn]]:
         return [(name_col(c.name), c) for c in map(self.schema.column, names if names is not None else self.schema.names)]
@@ -176,4 +176,17 @@ class Flow:
         return op(self)
 
 
-__all__ = ["DESC", "PART_BITS", "POS", "Fields", "Flow", "name_col"]
+class LazyFlow(Flow):
+    """A flow whose frame is made where an operator asks for it; one that knows what made the flow may plan otherwise."""
+
+    def __init__(self, make: Callable[[], DataFrame], schema: FlowSchema):
+        self.__dict__.update(_make=make, schema=schema, published=None)
+
+    @property
+    def df(self) -> DataFrame:
+        if "_df" not in self.__dict__:
+            self.__dict__["_df"] = self._make()
+        return self.__dict__["_df"]
+
+
+__all__ = ["DESC", "PART_BITS", "POS", "Fields", "Flow", "LazyFlow", "name_col"]

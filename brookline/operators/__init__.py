@@ -11,7 +11,7 @@ from .joins import (
     FULL, INNER, LARGE, LEFT, ORDERED, SMALL, explode_inner, join, join_as_column, join_collate, join_collate_ordered, join_collate_ordered_rows, join_collate_sum, multi_join,
     sequence_field_merge, sequential_merge,
 )
-from .nested import add_inner_columns, add_outer_column, flatten, inner_pipe, rename_inner_columns, sort_nested_by, update_nested
+from .nested import add_inner_columns, add_outer_column, flatten, inner_pipe, nested_pipe, rename_inner_columns, sort_nested_by, update_nested
 from .ordering import assume_ordering, expect_ordering, sort_by_key
 from .probes import assert_probe, print_probe, print_schema_probe, print_status, probe
 from .window import sliding_window

@@ -15,6 +15,7 @@ from ..errors import SchemaError
 from ..flow import POS, Fields, Flow, name_col
 from ..functions import scalars
 from ..schema import FlowColumn, FlowKey, FlowSchema
+from .grouping import GroupedFlow
 
 Op = Callable[[Flow], Flow]
 
@@ -134,6 +135,8 @@ def add_column_regex(source: str, name: str, pattern: str) -> Op:
 def drop_columns(*names: str) -> Op:
     def run(flow: Flow) -> Flow:
         schema = flow.schema.drop(names)
+        if isinstance(flow, GroupedFlow) and not schema.contains(flow.nested.name):
+            return flow.without(schema)
         return flow.select(flow.as_is(schema.names), schema.key)
 
     return run
@@ -144,6 +147,8 @@ def keep_columns(*names: str) -> Op:
 
     def run(flow: Flow) -> Flow:
         schema = flow.schema.keep(names)
+        if isinstance(flow, GroupedFlow) and not schema.contains(flow.nested.name):
+            return flow.without(schema)
         return flow.select(flow.as_is(schema.names), schema.key)
 
     return run

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..flow import POS, Fields, Flow, name_col
+from ..flow import POS, Fields, Flow, LazyFlow, name_col
 from ..schema import DESC, FlowColumn, FlowKey, FlowSchema
 
 Op = Callable[[Flow], Flow]
@@ -43,6 +43,74 @@ def ordered_rows(flow: Flow, names: Sequence[str]) -> tuple[Flow, Column]:
     return flow, F.transform(found, lambda x: x["row"])
 
 
+class NotNativeError(Exception):
+    """A function of a nested table asks for more than aggregates."""
+
+
+class Aggregates:
+    """A nested table to a user function as long as only aggregates are asked for, over the rows before they are nested."""
+
+    def __init__(self, schema: FlowSchema):
+        self.schema = schema
+
+    def __getattr__(self, name: str):
+        raise NotNativeError(name)
+
+    def _of(self, name: str) -> Column:
+        self.schema.require([name])
+        return name_col(name)
+
+    def count(self) -> Column:
+        return F.count(F.lit(1))
+
+    def sum(self, name: str) -> Column:
+        return F.sum(self._of(name)).cast(self.schema.column(name).type)
+
+    def avg(self, name: str) -> Column:
+        return self.sum(name) / self.count()
+
+    def max(self, name: str) -> Column:
+        return F.max(self._of(name))
+
+    def min(self, name: str) -> Column:
+        return F.min(self._of(name))
+
+
+class GroupedFlow(LazyFlow):
+    """What group gives, and aggregates of the nested column that were added to it.
+
+    Where the nested column is dropped again, the plan is one aggregate with partial sums, and no table is ever nested.
+    """
+
+    def __init__(self, source: Flow, keys: Sequence[str], nested: FlowColumn, make: Callable[[], DataFrame], schema: FlowSchema, added: tuple = ()):
+        super().__init__(make, schema)
+        self.__dict__.update(source=source, keys=list(keys), nested=nested, added=added)
+
+    def with_aggregate(self, column: FlowColumn, f: Callable) -> GroupedFlow | None:
+        """The flow with f's value in front; None if f needs the rows themselves."""
+        try:
+            value = f(Aggregates(self.schema.inner(self.nested.name)))
+        except NotNativeError:
+            return None
+        if not isinstance(value, Column):
+            return None
+        schema = FlowSchema((column, *self.schema.columns), self.schema.key)
+
+        def make() -> DataFrame:
+            from .nested import rows_of
+
+            whole = f(rows_of(self, self.nested.name)).cast(column.type).alias(column.name)
+            return self.df.select(whole, *map(name_col, self.schema.names))
+
+        return GroupedFlow(self.source, self.keys, self.nested, make, schema, (*self.added, (column, value)))
+
+    def without(self, schema: FlowSchema) -> Flow:
+        """The flow with this schema, which lacks the nested column."""
+        by = [name_col(k) for k in self.keys] or [F.lit(0).alias("__one")]
+        made = [value.cast(c.type).alias(c.name) for c, value in self.added if schema.contains(c.name)] or [F.count(F.lit(1)).alias("__count")]
+        return Flow(self.source.df.groupBy(*by).agg(*made).select(*map(name_col, schema.names)), schema)
+
+
 def group(keys: Sequence[str], name: str) -> Op:
     """keys and a nested column of the other columns, rows in arrival order; no keys: one group, none of no rows."""
 
@@ -51,11 +119,14 @@ def group(keys: Sequence[str], name: str) -> Op:
         others = [n for n in flow.schema.names if n not in keys]
         inner = flow.schema.pick(others)
         nested = FlowColumn(name, array_of(inner), [])
-        held, rows = ordered_rows(flow, others)
-        by = [name_col(k) for k in keys] or [F.lit(0).alias("__one")]
-        df = held.df.groupBy(*by).agg(rows.cast(nested.type).alias(name))
         schema = FlowSchema((*map(flow.schema.column, keys), nested), FlowKey.asc(*keys, unique=True))
-        return Flow(df.select(*[name_col(n) for n in schema.names]), schema)
+
+        def make() -> DataFrame:
+            held, rows = ordered_rows(flow, others)
+            by = [name_col(k) for k in keys] or [F.lit(0).alias("__one")]
+            return held.df.groupBy(*by).agg(rows.cast(nested.type).alias(name)).select(*[name_col(n) for n in schema.names])
+
+        return GroupedFlow(flow, keys, nested, make, schema)
 
     return run
 

@@ -20,15 +20,15 @@ from ..flow import POS, Fields, Flow, name_col
 from ..functions import scalars
 from ..schema import FlowColumn, FlowKey, FlowSchema
 from .grouping import array_of, ordered_rows
-from .nested import Rows, rows_of
+from .nested import AttachedFlow, Rows, rows_of
 
 SMALL, LARGE, ORDERED = "small", "large", "ordered"
 INNER, LEFT, FULL = "inner", "left", "full"
 Join = Callable[[Flow, Flow], Flow]
 #: Columns that a pivot makes at most.
 MOST_NAMES = 10_000
-#: Rows of the right side of join_as_column that are sent to every task; more are joined without broadcast.
-MOST_ATTACHED = 100_000
+#: Bytes of the right side of join_as_column that are sent to every task; more are joined without broadcast.
+MOST_ATTACHED = 8 << 20
 
 
 def _unique_on(flow: Flow, fields: Sequence[str]) -> bool:
@@ -212,17 +212,23 @@ def sequence_field_merge(size: str, columns: tuple[str, str, str], fields: Seque
 def join_as_column(name: str, most_attached: int = MOST_ATTACHED) -> Join:
     """The whole right flow as a nested column in front of each left row, rows in arrival order.
 
-    The right side becomes one row, whose number of rows is checked: up to most_attached it is broadcast.
+    The right side becomes one row, whose bytes are checked: up to most_attached it is broadcast. Where flatten
+    follows, nothing is nested, and a filter after it makes the two an equi-join.
     """
 
     def run(left: Flow, right: Flow) -> Flow:
         nested = FlowColumn(name, array_of(right.schema), [])
-        FlowSchema((nested, *left.schema.columns))
-        held, rows = ordered_rows(right, right.schema.names)
-        one = held.df.agg(rows.cast(nested.type).alias(name))
-        few = right.df.limit(most_attached + 1).count() <= most_attached
-        df = left.df.crossJoin(F.broadcast(one) if few else one)
-        return Flow(df, FlowSchema((*left.schema.columns, nested), left.schema.key)).select([(name_col(name), nested), *left.as_is()])
+        schema = FlowSchema((nested, *left.schema.columns), left.schema.key)
+
+        def make() -> DataFrame:
+            held, rows = ordered_rows(right, right.schema.names)
+            one = held.df.agg(rows.cast(nested.type).alias(name))
+            size = F.sum(F.octet_length(F.to_json(F.struct(*map(name_col, right.schema.names)))) + 16 * len(right.schema.names))
+            few = (right.df.agg(size).first()[0] or 0) <= most_attached
+            df = left.df.crossJoin(F.broadcast(one) if few else one)
+            return df.select(*map(name_col, schema.names), *([POS] if left.has_pos else []))
+
+        return AttachedFlow(left, right, name, make, schema)
 
     return run
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..flow import Fields, Flow, name_col
+from ..flow import POS, Fields, Flow, LazyFlow, name_col
 from ..schema import FlowColumn, FlowKey, FlowSchema
 from .columns import as_column
-from .grouping import array_of
+from .grouping import GroupedFlow, array_of, ordered_rows
+from .ordering import numbered
 
 Op = Callable[[Flow], Flow]
+#: The column by which nested_pipe tells an operator whose inner rows are whose.
+OUTER = "outer_row"
 
 
 class Rows:
@@ -61,6 +66,14 @@ class Rows:
         return Rows(F.slice(self.array, skip + 1, n), self.schema)
 
 
+class AttachedFlow(LazyFlow):
+    """What join_as_column gives: where the column is flattened again, no table is ever nested."""
+
+    def __init__(self, left: Flow, right: Flow, name: str, make: Callable[[], DataFrame], schema: FlowSchema):
+        super().__init__(make, schema)
+        self.__dict__.update(left=left, right=right, name=name)
+
+
 def rows_of(flow: Flow, name: str) -> Rows:
     return Rows(name_col(name), flow.schema.inner(name))
 
@@ -78,7 +91,10 @@ def flatten(name: str) -> Op:
             key = FlowKey(outer.key.orderings + inner.key.orderings)
         else:
             key = outer.key.set_unique(False)
-        df = flow.df.select(*[name_col(n) for n in outer.names], F.inline(name_col(name)))
+        if isinstance(flow, AttachedFlow) and flow.name == name:
+            df = flow.left.df.select(*map(name_col, flow.left.schema.names)).crossJoin(flow.right.df.select(*map(name_col, inner.names)))  # a filter that follows makes it an equi-join
+        else:
+            df = flow.df.select(*[name_col(n) for n in outer.names], F.inline(name_col(name)))
         return Flow(df.toDF(*schema.names), replace(schema, key=key))
 
     return run
@@ -90,6 +106,8 @@ def add_outer_column(column: FlowColumn | tuple, nested: str, f: Callable[[Rows]
 
     def run(flow: Flow) -> Flow:
         FlowSchema((column, *flow.schema.columns))
+        if isinstance(flow, GroupedFlow) and flow.nested.name == nested and (fused := flow.with_aggregate(column, f)):
+            return fused
         return flow.select([(f(rows_of(flow, nested)).cast(column.type), column), *flow.as_is()])
 
     return run
@@ -138,14 +156,16 @@ def rename_inner_columns(name: str, pairs: dict[str, str] | Sequence[tuple[str,
 def inner_pipe(source: str, column: str, f: Callable[[Rows], Rows], udf: Callable[[list[dict]], list[dict]] | None = None, schema: FlowSchema | None = None) -> Op:
     """Runs f over each nested table and adds the result as a nested column in front.
 
-    f composes filter, map, sort and limit of Rows. With udf and its schema, a Python function of a list of rows.
+    f composes filter, map, sort and limit of Rows. With udf and its schema, a Python function of a list of rows, in
+    Arrow batches. nested_pipe runs any operator.
     """
 
     def run(flow: Flow) -> Flow:
         rows = rows_of(flow, source)
         if udf:
             kind = array_of(schema)
-            made = F.udf(lambda x: udf([r.asDict(recursive=True) for r in x or []]), kind)(rows.array)
+            plain = F.pandas_udf(lambda batch: batch.map(lambda x: json.dumps(udf(json.loads(x or "[]")))), "string")  # nested rows travel as text
+            made = F.from_json(plain(F.to_json(rows.array, {"ignoreNullFields": "false"})), kind)
         else:
             done = f(rows)
             made, kind = done.array, array_of(done.schema)
@@ -156,6 +176,33 @@ def inner_pipe(source: str, column: str, f: Callable[[Rows], Rows], udf: Callabl
     return run
 
 
+def nested_pipe(source: str, column: str, op: Callable[[Flow], Flow]) -> Op:
+    """Runs any operator over all rows of a nested table at once and nests what it gives, as a nested column in front.
+
+    Inner rows are laid out with the number of their outer row, so op must work row by row or by groups that it is told
+    of: OUTER names the column to group, join or window by. Rows that op drops are gone; an outer row whose inner rows
+    all go has an empty table.
+    """
+
+    def run(flow: Flow) -> Flow:
+        inner = flow.schema.inner(source)
+        held = numbered(flow)
+        number = FlowColumn(OUTER, T.LongType(), 0)
+        rows = held.df.select(name_col(POS).alias(OUTER), F.posexplode(name_col(source)).alias("__at", "__row")).select(OUTER, F.col("__at").cast("bigint").alias(POS), *[F.col("__row")[n].alias(n) for n in inner.names])
+        done = op(Flow(rows, FlowSchema((number, *inner.columns), FlowKey())))
+        kept = FlowSchema(tuple(c for c in done.schema.columns if c.name != OUTER))
+        done.schema.require([OUTER])
+        new = FlowColumn(column, array_of(kept), [])
+        FlowSchema((new, *flow.schema.columns))
+        again, array = ordered_rows(done, kept.names)
+        made = again.df.groupBy(OUTER).agg(array.cast(new.type).alias("__made"))
+        joined = held.df.join(made, name_col(POS) == made[OUTER], "left").drop(OUTER)
+        out = Flow(joined, held.schema)
+        return out.select([(F.coalesce(F.col("__made"), F.array().cast(new.type)), new), *out.as_is()])
+
+    return run
+
+
 def sort_nested_by(name: str, *inner: str) -> Op:
     """Sorts a nested table, ascending and stable."""
     return update_nested(name, lambda s: s, lambda _, rows: rows.sort(*inner))

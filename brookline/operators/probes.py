@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -60,6 +62,36 @@ def assert_probe(test: Callable[[Fields], Column], message: Callable[[Fields], C
     return run
 
 
-def print_status() -> tuple[Op, Folded]:
-    """A pass-through and the number of rows that passed, once an action has run; Spark's UI shows progress."""
-    return fold(0, lambda t: F.count(F.lit(1)))
+def print_status(name: str = "flow", every: float = 5.0, out=None) -> tuple[Op, Folded]:
+    """A pass-through that reports, and the number of rows that passed.
+
+    While an action runs, a line every so many seconds says how many tasks of Spark's running stages are done; when it
+    has ended, a last line says how many rows passed and the rows a second.
+    """
+    count, counted = fold(0, lambda t: F.count(F.lit(1)))
+    say = lambda text: print(f"{name}: {text}", file=out or sys.stdout, flush=True)
+
+    def run(flow: Flow) -> Flow:
+        passed = count(flow)
+        if not flow.df.isStreaming:
+            threading.Thread(target=_report, args=(flow.df.sparkSession.sparkContext, counted, say, every), daemon=True).start()
+        return passed
+
+    return run, counted
+
+
+def _report(context, counted: Folded, say: Callable[[str], None], every: float) -> None:
+    done, began = threading.Event(), None
+
+    def wait() -> None:
+        counted.result  # until an action on the flow has ended
+        done.set()
+
+    threading.Thread(target=wait, daemon=True).start()
+    while not done.wait(0.2 if began is None else every):
+        running = [s for i in context.statusTracker().getActiveStageIds() if (s := context.statusTracker().getStageInfo(i))]
+        if running:
+            began = began or time.monotonic()
+            say(f"{sum(s.numCompletedTasks for s in running)} of {sum(s.numTasks for s in running)} tasks done")
+    took = time.monotonic() - began if began else 0.0
+    say(f"{counted.result} rows passed" + (f", {counted.result / took:.0f} a second" if took else ""))
