@@ -4,7 +4,8 @@
     run([(sink, stage("big") | group(...)), (other, totals)], {"orders": tap})
 
 A run resolves the names in order of need, builds one DataFrame for each sink, keeps published flows that several
-stages read, and runs the sinks' actions side by side.
+stages read (in the executors while the sinks run; in the shared folder where a collector reads them later), and runs
+the sinks' actions side by side.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field, replace
 from ..errors import PipelineError
 from ..flow import Flow
 from ..sources.taps import CollectorSink, Sink, Tap
+from ..staging import staged
 
 Op = Callable[[Flow], Flow]
 Join = Callable[[Flow, Flow], Flow]
@@ -123,6 +125,10 @@ class Graph:
             raise PipelineError(f"circular dependency: {' -> '.join(e.args[1])}") from e
         self.uses = Counter(n for s in [*self.named.values(), *(s for _, s in self.sinks)] for n in _needs(s))
 
+    @property
+    def read_later(self) -> bool:
+        return any(isinstance(s, CollectorSink) for s, _ in self.sinks)
+
     def flows(self) -> tuple[list[tuple[Sink, Flow]], list[Flow]]:
         """The flow for each sink, and those that are kept because they are read more than once."""
         held: dict[str, Flow] = {}
@@ -132,8 +138,11 @@ class Graph:
             if name not in held:
                 flow = self.taps[name].open() if name in self.taps else build(self.named[name])
                 if name in self.named and self.uses[name] > 1:
-                    flow = flow.with_df(flow.df.persist())
-                    kept.append(flow)
+                    if self.read_later:
+                        flow = flow.with_df(staged(flow.df, "published"))
+                    else:
+                        flow = flow.with_df(flow.df.persist())
+                        kept.append(flow)
                 held[name] = flow
             return held[name]
 
@@ -162,10 +171,8 @@ def multi_run(sinks: Sequence[tuple[Sink, Stage]], taps: Mapping[str, Tap], thre
         for d in done:
             d.result()
     finally:
-        collected = [s for s, _ in flows if isinstance(s, CollectorSink)]
-        if not collected:  # a collector reads later
-            for flow in kept:
-                flow.df.unpersist()
+        for flow in kept:
+            flow.df.unpersist()
 
 
 def run(sink: Sink, made: Stage, taps: Mapping[str, Tap]) -> None:

@@ -7,6 +7,8 @@ import gzip
 import io
 import json
 import xml.etree.ElementTree as ET
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -91,31 +93,47 @@ def _from_xml(element: ET.Element, schema: FlowSchema) -> dict:
     return {c.name: row.get(c.name) for c in schema.columns}
 
 
-def serialize_rows(rows: list, schema: FlowSchema, form: str = BINARY_FORM) -> bytes:
-    """Rows (Row objects or dictionaries) with their schema in front."""
-    made = [plain(r) for r in rows]
+def serialize_chunks(rows: Iterable, schema: FlowSchema, form: str = BINARY_FORM, most: int = 4096) -> Iterator[bytes]:
+    """The bytes of serialize_rows piece by piece, so many rows at a time."""
+    rows = iter(rows)
+    chunks = iter(lambda: [plain(r) for r in islice(rows, most)], [])
     if form == XML_FORM:
-        root = ET.Element("tseq")
-        ET.SubElement(root, "sch").text = _schema_json(schema)
-        data = ET.SubElement(root, "dataSeq")
-        for r in made:
-            x = ET.SubElement(data, "data")
-            for k, v in r.items():
-                _to_xml(x, k, v)
-        return ET.tostring(root, encoding="utf-8")
+        head = ET.Element("schema")
+        head.text = _schema_json(schema)
+        yield b"<flow>" + ET.tostring(head, encoding="utf-8", xml_declaration=False) + b"<rows>"
+        for chunk in chunks:
+            held = []
+            for r in chunk:
+                x = ET.Element("row")
+                for k, v in r.items():
+                    _to_xml(x, k, v)
+                held.append(ET.tostring(x, encoding="utf-8", xml_declaration=False))
+            yield b"".join(held)
+        yield b"</rows></flow>"
+        return
     arrow = pa.schema([(c.name, _arrow(c.type)) for c in schema.columns], metadata={"flow": _schema_json(schema)})
     out = io.BytesIO()
+    out.write(_MAGIC)
     with pa.ipc.new_stream(out, arrow) as writer:
-        writer.write_table(pa.Table.from_pylist(made, arrow))
-    return _MAGIC + out.getvalue()
+        for chunk in chunks:
+            writer.write_table(pa.Table.from_pylist(chunk, arrow))
+            yield out.getvalue()
+            out.seek(0)
+            out.truncate()
+    yield out.getvalue()
+
+
+def serialize_rows(rows: Iterable, schema: FlowSchema, form: str = BINARY_FORM) -> bytes:
+    """Rows (Row objects or dictionaries) with their schema in front."""
+    return b"".join(serialize_chunks(rows, schema, form))
 
 
 def deserialize_rows(data: bytes, form: str = BINARY_FORM) -> tuple[list[dict], FlowSchema]:
     try:
         if form == XML_FORM:
             root = ET.fromstring(data)
-            schema = _schema_of(root.findtext("sch") or "")
-            return [_from_xml(x, schema) for x in root.find("dataSeq")], schema
+            schema = _schema_of(root.findtext("schema") or "")
+            return [_from_xml(x, schema) for x in root.find("rows")], schema
         if not data.startswith(_MAGIC):
             raise SchemaError("not serialized rows")
         with pa.ipc.open_stream(data[len(_MAGIC) :]) as reader:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
 import sys
-import tempfile
 import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -15,11 +13,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..flow import POS, Flow
+from ..flow import POS, Flow, name_col
 from ..schema import FlowSchema
+from ..staging import staged
 from .delimited import header_line, parse_lines, rendered
 from .formats import BINARY, CSV, NULL, TAB, Format, format_of
-from .serde import BINARY_FORM, XML_FORM, deserialize_rows, serialize_rows
+from .serde import BINARY_FORM, XML_FORM, deserialize_rows, serialize_chunks
 
 _SEPARATORS = {"csv": ",", "tab": "\t"}
 
@@ -73,10 +72,10 @@ def flow_sink(name: str, f: Callable[[Flow], None]) -> Sink:
 
 
 def pipe_sink(sink: Sink) -> Callable[[Flow], Flow]:
-    """Hands the flow to a sink and passes it on; it is kept in between, so it is worked out once."""
+    """Hands the flow to a sink and passes it on; it is written to the shared folder in between, so it is worked out once."""
 
     def run(flow: Flow) -> Flow:
-        held = flow.with_df(flow.df.persist())
+        held = flow.with_df(staged(flow.df, "tee"))
         sink.run(held)
         return held
 
@@ -93,9 +92,19 @@ def read_from_file(spark: SparkSession, made: Format, path: str, schema: FlowSch
         return read_from_stream(spark, made, sys.stdin.buffer, schema)
     if path == "":
         return Tap(lambda: NULL.read(spark, path, schema))
+    if made.name.removesuffix(".gz") in ("xml", "binary") and not _is_folder(spark, path):
+        return Tap(lambda: read_from_string(spark, made, bytes(spark.read.format("binaryFile").load(path).first()["content"]), schema).open())
     return Tap(lambda: made.read(spark, path, schema))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's writers made it; write_to_file's single files are not folders. Paths with wildcards count as folders."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return not files.exists(place) or files.getFileStatus(place).isDirectory() or path.endswith(".parquet")
+
+
 def read_from_file_auto(spark: SparkSession, path: str, schema: FlowSchema | None = None) -> Tap:
     return read_from_file(spark, format_of(path), path, schema)
 
@@ -158,15 +167,21 @@ def write_to_stream(made: Format, stream: IO[bytes]) -> Sink:
         kind = made.name.removesuffix(".gz")
         if kind in _SEPARATORS:
             sep = _SEPARATORS[kind]
+            if flow.has_pos or flow.schema.key.orderings:
+                flow, order = flow.in_order()
+                flow = flow.with_df(flow.df.orderBy(*order))
             lines = rendered(flow, sep)
-            if flow.has_pos:
-                lines = lines.orderBy(POS)
             chunks = [(header_line(flow.schema, sep) + "\n").encode()]
             body = ((r["value"] + "\n").encode() for r in lines.select("value").toLocalIterator())
         elif kind == "null":
             return NULL.write(flow, "", "none")
         elif kind in ("xml", "binary"):
-            chunks, body = [serialize_rows(flow.collect(), flow.schema, XML_FORM if kind == "xml" else BINARY_FORM)], iter(())
+            ordered = flow.df
+            if flow.has_pos or flow.schema.key.orderings:
+                held, order = flow.in_order()
+                ordered = held.df.orderBy(*order)
+            rows = ordered.select(*[name_col(n) for n in flow.schema.names]).toLocalIterator()
+            chunks, body = (), serialize_chunks(rows, flow.schema, XML_FORM if kind == "xml" else BINARY_FORM)
         else:
             raise SchemaError(f"{made.name} can't be written to a stream")
         if made.name.endswith(".gz"):
@@ -184,22 +199,46 @@ def write_to_stream(made: Format, stream: IO[bytes]) -> Sink:
     return Sink(made.name, run)
 
 
-def write_to_file(made: Format, path: str) -> Sink:
-    """"-" writes to standard output; else a folder of part files, as Spark writes them."""
+def write_to_file(made: Format, path: str, single: bool = False) -> Sink:
+    """"-" writes to standard output; else a folder of part files, as Spark writes them.
+
+    single: one file, in the flow's order, that the driver writes a partition at a time to any file system Spark knows.
+    """
     if path == "-":
         return write_to_stream(made, sys.stdout.buffer)
+    if single:
+        return Sink(path, lambda flow: _write_single(made, path, flow))
     return Sink(path, lambda flow: made.write(flow, path, made.compression))
 
 
-def write_to_file_auto(path: str) -> Sink:
-    return write_to_file(format_of(path), path)
+class _HadoopFile(io.RawIOBase):
+    """A file of Hadoop's, to write bytes to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        context = spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        self._out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytes(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+        super().close()
+
+
+def _write_single(made: Format, path: str, flow: Flow) -> None:
+    with io.BufferedWriter(_HadoopFile(flow.df.sparkSession, path), 1 << 20) as out:
+        write_to_stream(made, out).run(flow)
 
 
-def temporary_file(suffix: str) -> str:
-    """For the driver's own use, in tests."""
-    handle, path = tempfile.mkstemp(suffix)
-    os.close(handle)
-    return path
+def write_to_file_auto(path: str, single: bool = False) -> Sink:
+    return write_to_file(format_of(path), path, single)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["CSV", "TAB"]
