@@ -220,15 +220,12 @@ def join_as_column(name: str, most_attached: int = MOST_ATTACHED) -> Join:
         nested = FlowColumn(name, array_of(right.schema), [])
         schema = FlowSchema((nested, *left.schema.columns), left.schema.key)
 
-        def make() -> DataFrame:
+        def make(flow: AttachedFlow) -> DataFrame:
             held, rows = ordered_rows(right, right.schema.names)
-            one = held.df.agg(rows.cast(nested.type).alias(name))
-            size = F.sum(F.octet_length(F.to_json(F.struct(*map(name_col, right.schema.names)))) + 16 * len(right.schema.names))
-            few = (right.df.agg(size).first()[0] or 0) <= most_attached
-            df = left.df.crossJoin(F.broadcast(one) if few else one)
+            df = left.df.crossJoin(flow.attached(held.df.agg(rows.cast(nested.type).alias(name))))
             return df.select(*map(name_col, schema.names), *([POS] if left.has_pos else []))
 
-        return AttachedFlow(left, right, name, make, schema)
+        return AttachedFlow(left, right, name, make, schema, most_attached)
 
     return run
 

@@ -69,9 +69,15 @@ class Rows:
 class AttachedFlow(LazyFlow):
     """What join_as_column gives: where the column is flattened again, no table is ever nested."""
 
-    def __init__(self, left: Flow, right: Flow, name: str, make: Callable[[], DataFrame], schema: FlowSchema):
-        super().__init__(make, schema)
-        self.__dict__.update(left=left, right=right, name=name)
+    def __init__(self, left: Flow, right: Flow, name: str, make: Callable[[AttachedFlow], DataFrame], schema: FlowSchema, most: int):
+        super().__init__(lambda: make(self), schema)
+        self.__dict__.update(left=left, right=right, name=name, most=most)
+
+    def attached(self, df: DataFrame) -> DataFrame:
+        """What stands for the right side, to be broadcast if that side's bytes are few."""
+        names = self.right.schema.names
+        size = F.sum(F.octet_length(F.to_json(F.struct(*map(name_col, names)))) + 16 * len(names))
+        return F.broadcast(df) if (self.right.df.agg(size).first()[0] or 0) <= self.most else df
 
 
 def rows_of(flow: Flow, name: str) -> Rows:
@@ -92,7 +98,7 @@ def flatten(name: str) -> Op:
         else:
             key = outer.key.set_unique(False)
         if isinstance(flow, AttachedFlow) and flow.name == name:
-            df = flow.left.df.select(*map(name_col, flow.left.schema.names)).crossJoin(flow.right.df.select(*map(name_col, inner.names)))  # a filter that follows makes it an equi-join
+            df = flow.left.df.select(*map(name_col, flow.left.schema.names)).crossJoin(flow.attached(flow.right.df.select(*map(name_col, inner.names))))  # a filter that follows makes it an equi-join
         else:
             df = flow.df.select(*[name_col(n) for n in outer.names], F.inline(name_col(name)))
         return Flow(df.toDF(*schema.names), replace(schema, key=key))

@@ -335,8 +335,11 @@ def n_queens_6(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_io  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -86,7 +86,7 @@ def coerce(value: Column, source: T.DataType, target: T.DataType) -> Column:
         raise SchemaError("no coercion from unsigned to int")
     if a == INT and b == UNSIGNED:
         wide = value.cast(T.DecimalType(20, 0))
-        return F.when(wide < 0, (wide + F.lit(_WRAP)).cast(target)).otherwise(wide.cast(target))
+        return F.when(wide < 0, (wide + F.lit(Decimal(_WRAP))).cast(target)).otherwise(wide.cast(target))
     if a == FLOAT and b in (INT, UNSIGNED):
         return F.rint(value).cast(target)
     if a == DECIMAL and b in (INT, UNSIGNED):

@@ -196,3 +196,77 @@ def test_stream_of_bytes(spark):
     out = io.BytesIO()
     taps.write_to_stream(formats.format_of("t.csv"), out).run(flow)
     assert out.getvalue().decode().splitlines() == ["id,s", "1,a"]
+
+
+def test_order_after_a_sort(spark):
+    base = Flow.rows(spark, [(x,) for x in (5, 1, 4, 2, 3)], S(("v", "int")))
+    down = base | O.sort_by_key(FlowKey((("desc", "v"),), True))
+    assert values(down | O.take_while(lambda t: t["v"] > 2), "v") == [(5,), (4,), (3,)]
+    ids = down | O.add_column(("id", "int"), lambda t: F.lit(0).cast("bigint")) | O.assign_unique_ids("id")
+    assert sorted(values(ids, "v", "id")) == [(1, 5), (2, 4), (3, 3), (4, 2), (5, 1)]
+
+
+def test_a_folder_is_read_in_the_order_of_its_paths(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v\n1\n2\n")
+    (tmp_path / "b.csv").write_text("v\n" + "".join(f"{i}\n" for i in range(3, 60)))
+    (tmp_path / "c d.csv").write_text("v\n60\n")
+    read = taps.read_from_file(spark, formats.CSV, f"file://{tmp_path}").open()
+    assert [r["v"] for r in read.collect()] == [str(i) for i in range(1, 61)]
+    assert [r["v"] for r in (read | O.limit(0, 4)).collect()] == ["1", "2", "3", "4"]
+
+
+def test_decimals_are_unsigned_only_by_mark(spark):
+    plain = Flow.of(spark.sql("SELECT 1 AS k, CAST(1.25 AS DECIMAL(12, 2)) AS x, CAST(-3 AS DECIMAL(20, 0)) AS y"), FlowKey.asc("k", unique=True))
+    assert plain.schema.simple == [("k", "int"), ("x", "decimal"), ("y", "decimal")]
+    other = Flow.of(spark.sql("SELECT 1 AS k, CAST(1.30 AS DECIMAL(12, 2)) AS x, CAST(1 AS DECIMAL(20, 0)) AS y"), FlowKey.asc("k", unique=True))
+    [(total,)] = values(plain.join_with(O.join_collate_sum(O.SMALL, ["k"], "x"), other), "x")
+    assert str(total) == "2.55"
+    marked = plain | O.add_columns(S(("u", "unsigned")), lambda t: {"u": F.lit(7)})
+    again = Flow.of(marked.frame())
+    assert again.schema.simple[-1] == ("u", "unsigned") and again.schema.simple[2] == ("y", "decimal")
+    wrapped = Flow.rows(spark, [(-1,), (2,)], S(("k", "int"))) | O.partial_schema_apply(S(("k", "unsigned")))
+    assert [int(v) for (v,) in values(wrapped)] == [2**64 - 1, 2]
+
+
+def test_nested_pipe_takes_any_operator(spark):
+    base = Flow.rows(spark, [(k, i) for k, n in (("a", 3), ("b", 1), ("c", 2)) for i in range(n)], S(("k", "string"), ("v", "int"))) | O.group(["k"], "g")
+    made = base | O.nested_pipe("g", "h", lambda f: f | O.simple_filter(lambda t: t["v"] > 0) | O.add_column(("twice", "int"), lambda t: t["v"] * 2))
+    assert {r["k"]: [tuple(x) for x in r["h"]] for r in made.frame().collect()} == {"a": [(2, 1), (4, 2)], "b": [], "c": [(2, 1)]}
+    plain = base | O.inner_pipe("g", "h", None, lambda rows: [{"n": len(rows)}], S(("n", "int")))
+    assert {r["k"]: r["h"][0]["n"] for r in plain.frame().collect()} == {"a": 3, "b": 1, "c": 2}
+
+
+def test_aggregates_of_a_group_that_is_dropped(spark):
+    base = Flow.rows(spark, [("a", 1, 2.0), ("a", 3, 4.0), ("b", 5, 6.0)], S(("k", "string"), ("n", "int"), ("x", "float"))) | O.group(["k"], "g")
+    made = base | O.add_outer_column(("n", "int"), "g", lambda r: r.sum("n")) | O.add_outer_column(("mean", "float"), "g", lambda r: r.avg("x")) | O.add_outer_column(("c", "int"), "g", lambda r: r.count() + 1)
+    assert sorted(values(made | O.drop_columns("g"), "k", "n", "mean", "c")) == [("a", 4, 3.0, 3), ("b", 5, 6.0, 2)]
+    assert sorted(values(made | O.keep_columns("k", "mean"))) == sorted((m, k) if made.schema.names.index("mean") < made.schema.names.index("k") else (k, m) for k, m in (("a", 3.0), ("b", 6.0)))
+    sizes = made | O.add_outer_column(("size", "int"), "g", lambda r: F.size(r.array)) | O.drop_columns("g")
+    assert sorted(values(sizes, "k", "size", "n")) == [("a", 2, 4), ("b", 1, 5)]
+
+
+def test_database(spark):
+    from brookline.sources import Database, append_db, infer_schema, read_db, write_db
+
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    db = Database.create("derby", "memory:tests;create=true")
+    schema = S(("A", "int"), ("B", "string"), ("C", "float"), key=FlowKey.asc("A", "B", unique=True))
+    write_db(db, "made")(Flow.rows(spark, [(2, "b", 2.5), (1, "a", 0.5)], schema))
+    assert infer_schema(spark, db, "made").key == schema.key
+    append_db(db, "made")(Flow.rows(spark, [(3, "c", 1.5)], schema))
+    assert [tuple(r) for r in read_db(spark, db, "made").collect()] == [(1, "a", 0.5), (2, "b", 2.5), (3, "c", 1.5)]
+    with pytest.raises(Exception):
+        append_db(db, "made")(Flow.rows(spark, [(3, "c", 1.5)], schema))
+    write_db(db, "made")(Flow.rows(spark, [], schema.with_key(FlowKey.asc("B"))))
+    assert values(read_db(spark, db, "made")) == [] and infer_schema(spark, db, "made").key == FlowKey()
+
+
+def test_staged_folders_go(spark):
+    from brookline import staging
+
+    frame = staging.staged(spark.range(3), "test")
+    other = staging.settled(lambda: staging.staged(spark.range(4), "inner").filter("id > 1"), "outer")
+    assert frame.staged_at in staging._folders and not any("/inner-" in f for f in staging._folders)
+    assert other.count() == 2
+    staging.discard(frame)
+    assert frame.staged_at not in staging._folders
