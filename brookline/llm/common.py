@@ -135,12 +135,20 @@ class Memo(dict):
 
     def missing(self, keys: set) -> list:
         """The keys whose values add() is to be given; all others are there until the next call."""
+        self.renew()
+        return self.lacking(keys)
+
+    def renew(self) -> None:
+        """Drops long keys, and what is more than the bytes allow."""
         for k in self.long:
             self.pop(k, None)
         self.long = []
         if self.held > self.most:
             self.before, self.held = dict(self), 0
             self.clear()
+
+    def lacking(self, keys: Iterable) -> list:
+        """The keys that are not here, after those of before have come back."""
         new, before = [k for k in keys if k not in self], self.before
         back = [k for k in new if k in before]
         if back:

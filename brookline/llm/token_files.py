@@ -138,7 +138,7 @@ def _frames(key: str, held, end_id: int, chunk_bytes: int):
         end = array(code, [end_id]).tobytes()
 
         def frames():
-            for ids, texts in portions(batches, 1 << 20):
+            for ids, texts in portions(batches, 2 << 20):
                 packed = units.each(texts) if units else (array(code, encode([t])[0]).tobytes() for t in texts)
                 for doc_id, p in zip(ids, packed):
                     yield frame(doc_id, array(code, p + end))

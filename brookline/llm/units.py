@@ -20,8 +20,8 @@ import regex
 
 from .common import Memo
 
-#: Bytes of the memos: of units and pieces of byte-level BPE each, and of words.
-MEMO_UNITS, MEMO_WORDS = 64 << 20, 128 << 20
+#: Bytes of the memos: of units of byte-level BPE (of other pieces a quarter), and of words.
+MEMO_UNITS, MEMO_WORDS = 192 << 20, 256 << 20
 #: A batch of new units ends at so many bytes.
 BATCH_BYTES = 1 << 20
 #: Characters of a text that are cut into units at a time.
@@ -36,6 +36,7 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 _RUN = re.compile(r"[,.](?:(?<=[^\s\w].)|(?<=_.))")
 _TWO_PIECES = re.compile(r"([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+)")
+_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,200})([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]{0,50})")
 _ONE_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+")
 
 
@@ -120,13 +121,14 @@ class ByteUnits:
     def __init__(self, encode, join, size, single, special: tuple[str, ...] = (), pieces: bool = False):
         self.encode, self.join, self.size, self.single, self.pieces_only = encode, join, size, single, pieces
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.units, self.pieces = Memo(MEMO_UNITS), Memo(MEMO_UNITS)
+        self.units, self.pieces = Memo(MEMO_UNITS), Memo(MEMO_UNITS // 4)
 
     def each(self, texts: list[str]) -> list:
         """The value of each text."""
         cut = [byte_units(t) if len(t) <= SLICE else None for t in texts]
-        short = [c for c in cut if c]
-        heads, memo = self.learn({c[0] for c in short}, set().union(*(c[1:] for c in short)))
+        short, memo = [c for c in cut if c], self.units
+        memo.renew()
+        heads, _ = self.learn({c[0] for c in short}, {u for c in short for u in c[1:] if u not in memo})
         done = [self.join([heads[c[0]], *map(memo.__getitem__, c[1:])]) if c else None for c in cut]
         return [d if c else self.long_text(t) for c, d, t in zip(cut, done, texts)]
 
@@ -134,26 +136,47 @@ class ByteUnits:
         found = []
         for k, part in enumerate(slices(text)):
             first, *rest = byte_units(part)
+            self.units.renew()
             heads, memo = self.learn(set() if k else {first}, {first, *rest} if k else set(rest))
             found.append(self.join([memo[first] if k else heads[first], *map(memo.__getitem__, rest)]))
         return self.join(found)
 
     def learn(self, heads: set[str], rest: set[str]) -> tuple[dict, Memo]:
-        """Values of the first units of texts, and of all other units without their space."""
-        new = self.units.missing(rest)
-        first = list(heads)
-        cut = [self.cut(u) for u in first] + [self.cut(" " + u) for u in new]
-        wanted = self.pieces.missing({p for c in cut for p in c})
+        """Values of the first units of texts, and of all other units without their space; the memo has been renewed.
+
+        Most units are a word, or a word and marks: two pieces. A word's value is that of the unit that it is, so words
+        are encoded once, whatever marks follow.
+        """
+        memo = self.units
+        new, marked, other = memo.lacking(rest), [], []
+        words = []
+        for u in new:
+            m = _WORD_MARKS.fullmatch(u)
+            if m is None:
+                other.append(u)
+            elif m[2]:
+                marked.append((u, m[1], m[2]))
+            else:
+                words.append(u)
+        known = set(words)
+        words += memo.lacking({w for _, w, _ in marked if w not in known})
+        for group in by_bytes(words):
+            values = self.encode([" " + w for w in group])
+            memo.add(group, values, self.size(values))
+        first, value = list(heads), self.pieces
+        cut = [self.cut(u) for u in first] + [self.cut(" " + u) for u in other]
+        wanted = value.missing({p for c in cut for p in c}.union(p for _, _, p in marked))
         for group in by_bytes([p for p in wanted if len(p) <= LONG_PIECE]):
             values = self.encode(group)
             self.pieces.add(group, values, self.size(values))
         for p in wanted:
             if len(p) > LONG_PIECE:
                 self.pieces.add([p], [self.single(p)])
-        value = self.pieces
         done = [self.join([value[p] for p in c]) if len(c) != 1 else value[c[0]] for c in cut]
-        self.units.add(new, done[len(first) :], self.size(done[len(first) :]))
-        return dict(zip(first, done)), self.units
+        memo.add(other, done[len(first) :], self.size(done[len(first) :]))
+        both = [self.join((memo[w], value[p])) for _, w, p in marked]
+        memo.add([u for u, _, _ in marked], both, self.size(both))
+        return dict(zip(first, done)), memo
 
     def cut(self, unit: str) -> list[str]:
         """Strings whose values, joined, are the unit's."""
@@ -177,7 +200,9 @@ class WordUnits:
     def each(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [word_units(t) if len(t) <= SLICE else None for t in texts]
-        memo = self.learn(set().union(*filter(None, cut)))
+        memo = self.units
+        memo.renew()
+        self.learn({u for c in cut if c for u in c if u not in memo})
         done = [b"".join(map(memo.__getitem__, c)) if c else None for c in cut]
         return [d if c else self.long_text(t) for c, d, t in zip(cut, done, texts)]
 
@@ -185,12 +210,14 @@ class WordUnits:
         found = []
         for part in slices(text, _SPACE):
             units = word_units(part)
+            self.units.renew()
             found.append(b"".join(map(self.learn(set(units)).__getitem__, units)))
         return b"".join(found)
 
     def learn(self, units: set[str]) -> Memo:
+        """The memo, renewed before, with the values of these units."""
         memo = self.units
-        new = memo.missing(units)
+        new = memo.lacking(units)
         if not new:
             return memo
         split = {u: m.groups() for u in new if (m := _TWO_PIECES.fullmatch(u))}
@@ -198,7 +225,7 @@ class WordUnits:
         for u in new:
             if u not in split:
                 plain.add(u) if _ONE_PIECE.fullmatch(u) else other.append(u)
-        plain.update(p for pair in split.values() for p in pair if p not in memo)
+        plain.update(memo.lacking({p for pair in split.values() for p in pair}))
         size = np.dtype(self.code).itemsize
         for group in by_bytes(list(plain)):
             (ids,) = self.encode([" ".join(group)])
