@@ -155,7 +155,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     out = TokenFiles(f"{path}/shards", f"{path}/index")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(min(partitions(spark), 2 * spark.sparkContext.defaultParallelism), -(-size // shard_bytes))  # a file each, at least: few where texts are few
+    n = max(partitions(spark), -(-size // shard_bytes))
     held = vocabulary_text(spark, tokenizer_path)
     tied = F.xxhash64("text")  # splits a repeated id over ranges, whose bounds hold no texts
     ordered = source.repartitionByRange(n, F.col("doc_id"), tied).sortWithinPartitions(F.col("doc_id"), tied, F.col("text"))
@@ -177,6 +177,7 @@ def _number(path: str) -> int:
 
 
 def _buffers(batches):
+    worker_state("token file reader", lambda: True)  # the encoder's memo makes room for a shard
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             yield path.as_py(), content.as_buffer()

@@ -21,7 +21,7 @@ import regex
 from .common import Memo
 
 #: Bytes of the memos: of units of byte-level BPE (of other pieces a quarter), and of words.
-MEMO_UNITS, MEMO_WORDS = 192 << 20, 256 << 20
+MEMO_UNITS, MEMO_WORDS = 192 << 20, 224 << 20
 #: A batch of new units ends at so many bytes.
 BATCH_BYTES = 1 << 20
 #: Characters of a text that are cut into units at a time.
