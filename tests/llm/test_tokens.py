@@ -22,6 +22,11 @@ def library():
     return tokenizers.Tokenizer.from_file(BYTE)
 
 
+@pytest.fixture(scope="module")
+def word_library():
+    return tokenizers.Tokenizer.from_file(WORD)
+
+
 @pytest.fixture(scope="module")
 def codec():
     import json
@@ -41,8 +46,7 @@ def test_prefix_encoding_is_the_library_s(codec, library, text, special):
 
 @settings(max_examples=300, deadline=None)
 @given(text=texts)
-def test_units_are_safe(library, text):
-    word_library = tokenizers.Tokenizer.from_file(WORD)
+def test_units_are_safe(library, word_library, text):
     first, *rest = byte_units(text)
     cut = [first, *(" " + u for u in rest)]
     assert [i for u in cut for i in library.encode(u, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
@@ -114,8 +118,7 @@ def test_worker_keeps_one_operator_s_state(monkeypatch):
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(st.sampled_from("aeinstrlE0159.,!?%éüß漢字仮名、。「」ไทย한국어𝒳́'’İΣ_~<|>/") | st.characters(codec="utf-8", exclude_categories=["Z", "Cc"]), max_size=80), most=st.integers(1, 9))
-def test_parts_without_spaces_are_safe(library, text, most):
-    word_library = tokenizers.Tokenizer.from_file(WORD)
+def test_parts_without_spaces_are_safe(library, word_library, text, most):
     parts = safe_parts(text, most)
     assert "".join(parts) == text
     for tokenizer in (library, word_library):
