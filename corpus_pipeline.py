@@ -3,8 +3,9 @@
 1. toxicity: rows that the factorization machine scores 0.5 or more go.
 2. exact_dedup: of equal texts the row of the largest doc_id stays.
 3. simhash_dedup: of each component of near-duplicates the row of the smallest doc_id stays; near are texts whose sets of
-   five-word shingles have a similarity (Jaccard) of 0.8 or more. The fingerprints of op5 reach three bits only, so
-   candidates are those of shingles.py.
+   five-word shingles have a similarity (Jaccard) of 0.8 or more. Candidates are all pairs whose SimHash fingerprints of
+   these sets differ in three bits or less (tables and comparison of op5), and, as similarity 0.8 goes beyond that
+   radius, those of the minhashes of shingles.py; the sets decide both.
 4. mix_sources: rows are repeated by Poisson counts, so sources come near shares by the square root of their size.
 5. bpe: ids and their decoding, as digests, of every row; copies that stage 4 made each have their row.
 
