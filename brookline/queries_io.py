@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import io
+import os
+import tempfile
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from . import operators as O
@@ -118,32 +122,39 @@ def files_rejected(spark, sf):
     return rejected_lines(spark, path, ",", 2, header=False).select("value")
 
 
-def _database(spark, name: str) -> Database:
+@contextlib.contextmanager
+def _database(spark):
+    """An empty database in a folder of the driver's own, which goes afterwards; tables that were read are copies."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    return Database.create("derby", f"memory:{name};create=true")
+    with tempfile.TemporaryDirectory(prefix="brookline-") as folder:
+        path = f"{os.path.realpath(folder)}/db"
+        yield Database.create("derby", f"{path};create=true")
+        with contextlib.suppress(Py4JJavaError):  # Derby reports the end of a database as an error
+            spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{path};shutdown=true")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, 'c_custkey' AS key FROM customer")
 def db_round_trip(spark, sf):
     """A table with a primary key, which is found again when it is read."""
-    db = _database(spark, "round_trip")
-    write_db(db, "customers")(_customer(spark, sf))
-    found = read_db(spark, db, "customers", partition_on="c_custkey", bounds=(1, 1500), partitions=4)
-    key = infer_schema(spark, db, "customers").key
-    assert key.unique and found.schema.key == key
-    return found.frame().withColumn("key", F.lit(",".join(key.names)))
+    with _database(spark) as db:
+        write_db(db, "customers")(_customer(spark, sf))
+        found = read_db(spark, db, "customers", partition_on="c_custkey", bounds=(1, 1500), partitions=4)
+        key = infer_schema(spark, db, "customers").key
+        assert key.unique and found.schema.key == key
+        return found.frame().withColumn("key", F.lit(",".join(key.names)))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 5 < 3")
 def db_append_nested(spark, sf):
     """A nested column in a table that is created, then added to by a sink and by an open table."""
-    db, made = _database(spark, "append"), _orders_by_customer(spark, sf)
+    made = _orders_by_customer(spark, sf)
     part = lambda k: made | O.simple_filter(lambda t: t["o_custkey"] % 5 == k)
-    table = DbTable(spark, db, "grouped_orders", jdbc.CREATE, made.schema)
-    table.write(part(0))
-    append_db(db, "grouped_orders")(part(1))
-    DbTable(spark, db, "grouped_orders", jdbc.APPEND, made.schema).write(part(2))
-    return (table.read() | O.flatten("orders")).frame()
+    with _database(spark) as db:
+        table = DbTable(spark, db, "grouped_orders", jdbc.CREATE, made.schema)
+        table.write(part(0))
+        append_db(db, "grouped_orders")(part(1))
+        DbTable(spark, db, "grouped_orders", jdbc.APPEND, made.schema).write(part(2))
+        return (table.read() | O.flatten("orders")).frame()
 
 
 @query("SELECT form, o_custkey, o_orderkey, o_totalprice FROM orders, (VALUES ('xml'), ('binary'), ('packed')) f(form) WHERE o_custkey % 20 = 1")
